@@ -1,6 +1,12 @@
 """The queries of this package and their SQL."""
 
-from palisade.llm import langid, licenses, linededup
+from palisade.llm import bpe, decontaminate, langid, licenses, linededup, media, tokencounts
 
-QUERIES = {f.__name__: f for f in (licenses.op1_license_scan, langid.op4_language_id, linededup.op7_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        licenses.op1_license_scan, decontaminate.op2_decontaminate, langid.op4_language_id, bpe.op5_bpe, media.op6_media,
+        linededup.op7_line_dedup, tokencounts.op9_token_counts,
+    )
+}
 ORACLES = {"op7_line_dedup": linededup.SQL, "op1_license_scan": licenses.SQL}
