@@ -1,11 +1,11 @@
 """The queries of this package and their SQL."""
 
-from palisade.llm import bpe, decontaminate, langid, licenses, linededup, media, tokencounts
+from palisade.llm import bpe, decontaminate, langid, licenses, linededup, media, pages, tokencounts
 
 QUERIES = {
     f.__name__: f
     for f in (
-        licenses.op1_license_scan, decontaminate.op2_decontaminate, langid.op4_language_id, bpe.op5_bpe, media.op6_media,
+        licenses.op1_license_scan, decontaminate.op2_decontaminate, pages.op3_html_extraction, langid.op4_language_id, bpe.op5_bpe, media.op6_media,
         linededup.op7_line_dedup, tokencounts.op9_token_counts,
     )
 }
