@@ -165,8 +165,8 @@ def decode(encoded: DataFrame, content: str) -> DataFrame:
     return encoded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"]))
 
 
-def digests(encoded: DataFrame, content: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256; decoded texts stay in the worker."""
+def digests(encoded: DataFrame, content: str, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted; decoded texts stay in the worker."""
     shared = encoded.sparkSession.sparkContext.broadcast(pieces_of(content))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +174,11 @@ def digests(encoded: DataFrame, content: str) -> DataFrame:
         for b in batches:
             ids = [i.as_py() for i in b["ids"]]
             texts = [" ".join(map(piece, np.frombuffer(i, "<u4").tolist())).encode() for i in ids]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["n_tokens"], pa.array(map(sha, ids), pa.string()), pa.array(map(sha, texts), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [b["doc_id"], b["n_tokens"], pa.array(map(sha, ids), pa.string()), pa.array(map(sha, texts), pa.string()), b["ids"]]
+            yield pa.RecordBatch.from_arrays(cols[: 4 + keep_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
