@@ -1,8 +1,8 @@
 """BPE encoding and decoding by a table of distinct words.
 
-Spark counts the distinct words of all texts, encodes each once with the tokenizer's own model, and joins the ids
-back by position: frequent words (a fixed number) from a broadcast table, all others by a join on the word whose
-results are gathered by document and put in their places.  Decoding joins ids with pieces, a table as large as the
+Spark ranks the words of all texts, encodes each distinct word once with the tokenizer's own model, and joins the ids
+back by position: frequent words (a fixed number) come from a broadcast table; the occurrences of any other word are
+shuffled together, get their ids there, and are gathered by document and put in their places.  Decoding joins ids with pieces, a table as large as the
 vocabulary.
 
 Splitting equals the tokenizer's normalizer and pre-tokenizer: its own code runs for unusual characters, a plain
@@ -26,8 +26,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settle, table
-from palisade.llm.wordtable import HEAD_WORDS, head_of, keyed, word_counts
+from palisade.llm.common import partitions, table
+from palisade.llm.wordtable import HEAD_WORDS, head_dict, head_of, keyed, word_counts
 
 #: Characters for which str.lower(), NFC and the classes below equal the library's.
 PLAIN = re.compile("[\x00-įı-ɏ]*")
@@ -87,18 +87,6 @@ def pieces_of(content: str) -> list[str | None]:
     return [by_id.get(i) for i in range(max(by_id) + 1)]
 
 
-def word_table(docs: DataFrame, content: str) -> DataFrame:
-    """(word, n, ids): every distinct word, encoded once; ids are unsigned little-endian, see ``_unit``."""
-    shared, unit = docs.sparkSession.sparkContext.broadcast(content), _unit(content)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Words(shared.value).encode
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["word"], b["n"], pa.array([np.array(encode(w), unit).tobytes() for w in b["word"].to_pylist()], pa.binary())], ["word", "n", "ids"])
-
-    return word_counts(docs, lambda: Words(shared.value).split).mapInArrow(run, "word string, n long, ids binary")
-
-
 def _unit(content: str) -> str:
     """Two bytes an id where the vocabulary leaves room for the mark of a hole, else four."""
     return "<u2" if len(pieces_of(content)) < 0xFFFF else "<u4"
@@ -106,19 +94,22 @@ def _unit(content: str) -> str:
 
 def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of ``docs``; ids: binary, little-endian unsigned 32-bit."""
-    sc, unit = docs.sparkSession.sparkContext, _unit(content)
-    words = settle(word_table(docs, content))
-    tokenizer, head = sc.broadcast(content), sc.broadcast(head_of(words, "ids", head_words))
+    unit, tokenizer = _unit(content), docs.sparkSession.sparkContext.broadcast(content)
     hole = np.array([-1]).astype(unit).tobytes()
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_word = Words(tokenizer.value).encode
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["word"], pa.array([np.array(encode_word(w), unit).tobytes() for w in b["word"].to_pylist()], pa.binary())], ["word", "ids"])
+
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get = Words(tokenizer.value).split, head.value.get
+        split, get, zip_ = Words(tokenizer.value).split, head_dict(head).get, pa.Codec("zstd", compression_level=3)
         for b in batches:
             ids = [b"".join([get(w, hole) for w in split(t.as_py())]) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(ids, pa.binary())], ["doc_id", "h", "ids"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(map(len, ids), pa.int64()), pa.array([zip_.compress(x, asbytes=True) for x in ids], pa.binary())], ["doc_id", "h", "size", "ids"])
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, have = Words(tokenizer.value).split, head.value
+        split, have = Words(tokenizer.value).split, head_dict(head)
         for b in batches:
             of, pos, rest = [], [], []
             for k, t in enumerate(b["text"]):
@@ -129,11 +120,22 @@ def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataF
             of = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([b["doc_id"].take(of), b["h"].take(of), pa.array(pos, pa.int32()), pa.array(rest, pa.string())], ["doc_id", "h", "pos", "word"])
 
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode_word, last, ids = Words(tokenizer.value).encode, None, b""
+        for b in batches:  # sorted by word
+            out = []
+            for w in b["word"].to_pylist():
+                if w != last:
+                    last, ids = w, np.array(encode_word(w), unit).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], b["pos"], pa.array(out, pa.binary())], ["doc_id", "h", "pos", "ids"])
+
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = pa.Codec("zstd")
         for b in batches:
             out = []
-            for ids, rest in zip(b["ids"].to_pylist(), b["rest"].to_pylist(), strict=True):
-                a = np.frombuffer(ids, unit)
+            for size, ids, rest in zip(b["size"].to_pylist(), b["ids"], b["rest"].to_pylist(), strict=True):
+                a = np.frombuffer(zip_.decompress(ids.as_buffer(), size, asbytes=True) if size else b"", unit)
                 if rest:
                     holes = np.flatnonzero(a == np.array(-1).astype(unit))
                     new = [np.frombuffer(r["ids"], unit) for r in rest]
@@ -141,14 +143,17 @@ def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataF
                 out.append(a.astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed(docs)
-    front = rows.mapInArrow(known, f"doc_id {kind}, h long, ids binary")
-    tail = rows.mapInArrow(others, f"doc_id {kind}, h long, pos int, word string").join(words.select("word", "ids").hint("shuffle_hash"), "word")
+    kind, rows, n = docs.schema["doc_id"].dataType.simpleString(), keyed(docs), partitions(docs.sparkSession)
+    head = head_of(word_counts(docs, lambda: Words(tokenizer.value).split), once, "word string, ids binary", head_words)
+    front = rows.mapInArrow(known, f"doc_id {kind}, h int, size long, ids binary")
+    tail = (
+        rows.mapInArrow(others, f"doc_id {kind}, h int, pos int, word string")
+        .repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, f"doc_id {kind}, h int, pos int, ids binary")
+    )
     # A set: rows that repeat doc_id and text bring the same members.
     placed = tail.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("rest")).select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "rest")
     joined = front.join(placed, front["doc_id"].eqNullSafe(placed["d"]) & (front["h"] == placed["t"]), "left")
-    return joined.select("doc_id", "ids", "rest").mapInArrow(fill, f"doc_id {kind}, n_tokens long, ids binary")
+    return joined.select("doc_id", "size", "ids", "rest").mapInArrow(fill, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, content: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Distinct words of a corpus with their counts, and the split of work between frequent and other words.
+"""Distinct words of a corpus, and the split of work between frequent and other words.
 
-A bounded number of the most frequent words (``HEAD_WORDS``) goes to every worker with its value; every other word
-is looked up by a join on the word.  The bound holds at any corpus size, and what lies beyond it is handled exactly.
+A bounded number of the most frequent words (``HEAD_WORDS``) goes to every worker with its value.  All occurrences of
+any other word are shuffled together by the word, which gets its value once there.  The bound holds at any corpus
+size, and what lies beyond it is handled exactly.
 """
 
 from __future__ import annotations
@@ -10,11 +11,10 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import text_hash
-
 HEAD_WORDS = 300_000
 #: Distinct words that a worker counts before it hands them on.
 FLUSH = 200_000
@@ -23,26 +23,48 @@ Splitter = Callable[[str], list[str]]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", text_hash().alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    """h tells apart rows that repeat a doc_id."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.hash(text).alias("h"), text.alias("text"))
 
 
 def word_counts(docs: DataFrame, make_splitter: Callable[[], Splitter]) -> DataFrame:
-    """(word, n) over the whole texts of all rows; ``make_splitter`` is called once in each worker."""
+    """(word, n): counts over the whole texts of all rows, for ranking frequent words.
+
+    A worker hands on the words that it met more than once since it last did; ``n`` is thus exact for any word that is
+    frequent everywhere, and a word that is never met twice in one place is no frequent word.  ``make_splitter`` is
+    called once in each worker.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, c = make_splitter(), Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], ["word", "n"])
+
+        def out() -> pa.RecordBatch:
+            many = [(w, n) for w, n in c.items() if n > 1]
+            c.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in many], pa.string()), pa.array([n for _, n in many], pa.int64())], ["word", "n"])
+
         for b in batches:
             for t in b["text"]:
                 c.update(split(t.as_py()))
                 if len(c) > FLUSH:
                     yield out()
-                    c.clear()
         yield out()
 
     return keyed(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def head_of(words: DataFrame, value: str, most: int = HEAD_WORDS) -> dict:
-    """word -> value of the ``most`` most frequent words (all of them, if they are fewer)."""
-    return {r[0]: r[1] for r in words.orderBy(F.desc("n"), "word").limit(most).select("word", value).collect()}
+def head_of(words: DataFrame, value: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = HEAD_WORDS) -> Broadcast:
+    """The ``most`` most frequent words with their values, made by ``value`` on an executor, as a broadcast Arrow table of two columns."""
+    top = words.orderBy(F.desc("n"), "word").limit(most).select("word").mapInArrow(value, schema)
+    sink = pa.BufferOutputStream()
+    table = top.toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as w:
+        w.write_table(table)
+    return words.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+
+
+def head_dict(shared: Broadcast) -> dict:
+    with pa.ipc.open_stream(shared.value) as r:
+        t = r.read_all()
+    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
