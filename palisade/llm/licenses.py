@@ -110,7 +110,10 @@ def _places(w: Column, phrase: list[str]) -> Column:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each row of ``docs``: the contract columns of ``op1_license_scan``."""
+    """One row for each row of ``docs``: the contract columns of ``op1_license_scan``.
+
+    Of the templates that a block meets, those of the greatest containment give it their labels.
+    """
     phrases = PHRASES if phrases is None else phrases
     docs = docs.select("doc_id", "text")
     lowered = ascii_lower(F.coalesce("text", F.lit("")))
@@ -128,7 +131,9 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     places = F.concat(*(F.col(f"at{k}") for k in range(len(split)))) if split else none
     named = F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values()))).cast("array<string>")
     base = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.sort_array(F.array_distinct(F.array_compact(named))).alias("named"))
-    found = similar_blocks(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    hits = similar_blocks(docs, templates, threshold).groupBy("doc_id", "text_hash", "block").agg(F.max("containment").alias("best"), F.collect_list(F.struct("label", "containment")).alias("all"))
+    closest = F.transform(F.filter("all", lambda x: x["containment"] == F.col("best")), lambda x: x["label"])
+    found = hits.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(closest))).alias("more"), F.max("best").alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "more", "best")
     both = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["text_hash"] == found["t"]), "left")
     return both.select(
@@ -156,11 +161,14 @@ places AS (
   FROM ws, phrases WHERE list_has_all(w, p)),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS ls FROM places GROUP BY doc_id),
 templates(label, tw, need) AS (VALUES {templates}),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{WORDS}')) AS b FROM low),
+blocks AS (
+  SELECT doc_id, unnest(range(0, len(string_split(t, chr(10))))) AS block,
+    list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{WORDS}')) AS b FROM low),
 hits AS (
-  SELECT doc_id, label, len(list_intersect(b, tw)) / len(tw)::DOUBLE AS c FROM blocks, templates
+  SELECT doc_id, block, label, len(list_intersect(b, tw)) / len(tw)::DOUBLE AS c FROM blocks, templates
   WHERE len(b) >= need AND len(list_intersect(b, tw)) >= need),
-more AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS c FROM hits GROUP BY doc_id)
+closest AS (SELECT * FROM hits QUALIFY c = max(c) OVER (PARTITION BY doc_id, block)),
+more AS (SELECT doc_id, list(DISTINCT label) AS ls, max(c) AS c FROM closest GROUP BY doc_id)
 SELECT ws.doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.ls), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(coalesce(base.ls, []) || coalesce(more.ls, []))), ','), '') AS labels,
