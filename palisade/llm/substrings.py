@@ -1,17 +1,18 @@
 """Suffix-array dedup: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Two equal 50-byte strings hold the same 20-byte anchor at the same place: the anchor is the least hash among the
-string's 20-byte windows.  So
+Every 50-byte string has an anchor: the least hash among its 20-byte windows.  Equal strings have equal anchors at the
+same place in them.  So
 
 1. every document's anchors are shuffled by hash, and those that one document has alone are dropped;
-2. each remaining anchor brings the up to 80 bytes around it (all 50-byte strings that hold it) to its hash's shard;
-3. a shard sorts the suffixes of its distinct windows with the difference-cover algorithm (``suffixes``): sampled
+2. each remaining anchor brings the run of strings whose anchor it is (up to 80 bytes) to its hash's shard;
+3. a shard sorts the suffixes of its distinct runs with the difference-cover algorithm (``suffixes``): sampled
    triples are named, names sorted by recursion, the remaining suffixes merged, adjacent 50-byte prefixes compared;
    each class of equal prefixes has its least document, and documents above it lose the bytes.
 
-Before each shuffle a batch combines what it holds twice: anchors known to be shared travel once, and of equal windows
-only those of the batch's least document go to the shard (the others are covered already).  So a passage in a third
-of all documents sends a row for each batch, not for each document.
+Rows of both shuffles are packed, one compressed block for each bucket of hashes, and a batch combines what it holds
+twice: anchors known to be shared travel once, and of equal runs only those of the batch's least document go to the
+shard (the others are covered already).  So a passage in a third of all documents sends a row for each batch, not for
+each document, and a bucket's size is the data's over the number of buckets.
 
 Defined cases: null text is empty; texts under 50 bytes keep all; a null doc_id takes no part (nothing of it is
 removed, nor does it remove); rows that repeat a doc_id do not remove each other's bytes; empty tables give empty
@@ -20,12 +21,11 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +37,7 @@ ANCHOR = 20
 SPAN = DEPTH - ANCHOR  # an anchor's string starts at most so far before it
 CHUNK = 3 << 20  # bytes hashed at once
 SHARD = 1 << 20  # bytes sorted at once
+BUCKETS = 2  # of each partition
 _BASE = 0x100000001B3
 _INDEX = np.uint64(2**36 - 1)
 
@@ -61,7 +62,7 @@ def gram_hashes(b: np.ndarray, k: int = ANCHOR) -> np.ndarray:
 
 
 def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the least 20-byte windows of all 50-byte strings in ``b``."""
+    """(places, hashes): the anchor's place for each start of a 50-byte string, and the hash of each 20-byte window."""
     if len(b) < DEPTH:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     h = gram_hashes(b)
@@ -70,95 +71,157 @@ def anchors(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while size * 2 <= width:
         cur = np.minimum(cur[:-size], cur[size:])
         size *= 2
-    at = (np.minimum(cur[:n], cur[width - size : width - size + n]) & _INDEX).astype(np.int64)
-    at = at[np.concatenate([[True], at[1:] != at[:-1]])]
-    return at, h[at]
+    return (np.minimum(cur[:n], cur[width - size : width - size + n]) & _INDEX).astype(np.int64), h
 
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _heads(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _packed(key: np.ndarray, columns: dict[str, pa.Array], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, compressed rows with their 48-bit keys), the rows of each bucket sorted by key."""
+    key = key & np.uint64(2**48 - 1)
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    by = np.lexsort((key, bucket))
+    rows = pa.table({"low": pa.array((key & np.uint64(2**32 - 1)).astype(np.uint32)), "high": pa.array((key >> np.uint64(32)).astype(np.uint16))} | columns).take(pa.array(by))
+    starts = _heads(bucket[by])
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(by)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows.slice(a, z - a).combine_chunks())
+        yield int(bucket[by[a]]), sink.getvalue().to_pybytes()
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each bucket, sorted by key (column ``key``); batches are sorted by bucket."""
+    held, at = [], None
+
+    def out() -> pa.Table:
+        t = pa.concat_tables(held).combine_chunks()
+        key = t["low"].to_numpy().astype(np.uint64) | (t["high"].to_numpy().astype(np.uint64) << np.uint64(32))
+        by = np.argsort(key, kind="stable")
+        return t.drop_columns(["low", "high"]).append_column("key", pa.array(key)).take(pa.array(by))
+
     for b in batches:
-        raw, of, n = [], [], 0
-        for i, t in enumerate(b["text"]):
-            raw.append((t.as_py() or "").encode())
-            of.append(i)
-            n += len(raw[-1])
-            if n >= CHUNK or i + 1 == b.num_rows:
-                yield _chunk(b["doc_id"], raw, of)
-                raw, of, n = [], [], 0
-
-
-def _chunk(ids: pa.Array, raw: list[bytes], of: list[int]) -> pa.RecordBatch:
-    sizes = np.array([len(x) for x in raw])
+        for p, block in zip(b["bucket"].to_pylist(), b["block"], strict=True):
+            if p != at and held:
+                yield out()
+                held = []
+            at = p
+            with pa.ipc.open_stream(block.as_buffer()) as r:
+                held.append(r.read_all())
+    if held:
+        yield out()
+
+
+def _chunks(b: pa.RecordBatch, text: Callable[[int], bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, sizes, bytes) of parts of a batch."""
+    rows, raw, n = [], [], 0
+    for i in range(b.num_rows):
+        raw.append(text(i))
+        rows.append(i)
+        n += len(raw[-1])
+        if n >= CHUNK or i + 1 == b.num_rows:
+            yield rows, np.array([len(x) for x in raw]), np.frombuffer(b"".join(raw), np.uint8)
+            rows, raw, n = [], [], 0
+
+
+def _anchored(buckets: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, bytes]] = []
+            for rows, sizes, text in _chunks(b, lambda i, b=b: (b["text"][i].as_py() or "").encode()):
+                out += _chunk(b["doc_id"], rows, sizes, text, buckets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
+
+    return run
+
+
+def _chunk(ids: pa.Array, rows: list[int], sizes: np.ndarray, text: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
     ends = np.cumsum(sizes)
-    text = np.frombuffer(b"".join(raw), np.uint8)
     at, h = anchors(text)
+    at = at[_heads(at)]
     doc = np.searchsorted(ends, at, side="right")
     inside = at + ANCHOR <= ends[doc] if len(at) else np.zeros(0, bool)
-    at, h, doc = at[inside], h[inside], doc[inside]
-    by = np.argsort(h, kind="stable")  # documents stay in order within a hash
-    hs, ds = h[by], doc[by]
-    start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]])) if len(hs) else np.zeros(0, np.int64)
-    run = np.zeros(len(hs), np.int64)
-    run[start] = 1
-    run = np.cumsum(run) - 1
-    last = np.concatenate([start[1:], [len(hs)]]) - 1 if len(hs) else start
-    known = (ds[start] != ds[last])[run] if len(hs) else np.zeros(0, bool)
+    at, doc = at[inside], doc[inside]
+    if not len(at):
+        return
+    by = np.argsort(h[at], kind="stable")  # documents stay in order within a hash
+    hs, ds = h[at][by], doc[by]
+    start = _heads(hs)
+    size = np.diff(np.concatenate([start, [len(hs)]]))
+    known = np.repeat(ds[start] != ds[start + size - 1], size)
     away = known.copy()
     away[start] = False  # one of them stays under its hash, for other chunks to meet
-    key = np.where(away, mix(hs ^ mix(np.arange(len(hs), dtype=np.uint64))), hs).view(np.int64)
-    pos = at[by] - (ends - sizes)[ds] if len(ds) else at
-    rows = ids.take(pa.array(np.array(of)[ds] if len(ds) else [], pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), rows, pa.array(pos, pa.int32()), pa.array(known, pa.bool_())], ["key", "doc_id", "pos", "known"])
+    key = np.where(away, mix(hs ^ mix(np.arange(len(hs), dtype=np.uint64))), hs)
+    pos = at[by] - (ends - sizes)[ds]
+    yield from _packed(key, {"doc_id": ids.take(pa.array(np.array(rows)[ds])), "pos": pa.array(pos, pa.int32()), "known": pa.array(known)}, buckets)
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and document, those whose key another document has; runs at a batch's ends stay in any case."""
-    for b in batches:
-        key = b["key"].to_numpy()
-        if not len(key):
+    """Anchors that another document has."""
+    for t in _unpacked(batches):
+        start = _heads(t["key"].to_numpy())
+        code = t["doc_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        size = np.diff(np.concatenate([start, [len(code)]]))
+        shared = np.minimum.reduceat(code, start) != np.maximum.reduceat(code, start)
+        keep = pa.array(np.repeat(shared, size) | t["known"].to_numpy())
+        yield from t.select(["doc_id", "pos"]).filter(keep).combine_chunks().to_batches()
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int]]:
+    """(row, bytes, anchor's place in them, start in the text, hash) of each run of strings with a shared anchor."""
+    zip_ = pa.Codec("zstd")
+    raw = lambda i: zip_.decompress(b["block"][i].as_buffer(), b["size"][i].as_py(), asbytes=True)
+    for rows, sizes, text in _chunks(b, raw):
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        flagged = np.zeros(len(text), bool)
+        for i, o in zip(rows, begin.tolist(), strict=True):
+            flagged[b["at"][i].values.to_numpy() + o] = True
+        at, h = anchors(text)
+        starts = np.flatnonzero(flagged[at])
+        doc = np.searchsorted(ends, starts, side="right")
+        starts, doc = (x[starts + DEPTH <= ends[doc]] for x in (starts, doc)) if len(starts) else (starts, doc)
+        if not len(starts):
             continue
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        end = np.concatenate([start[1:], [len(key)]])
-        first, last = b["doc_id"].take(pa.array(start)), b["doc_id"].take(pa.array(end - 1))
-        shared = np.array(pa.compute.not_equal(first, last))
-        shared[0] = shared[-1] = True
-        keep = np.repeat(shared, end - start) | b["known"].to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(pa.RecordBatch.from_arrays([b["doc_id"], b["pos"]], ["doc_id", "pos"]).filter(pa.array(keep)).columns, ["doc_id", "pos"])
-
-
-def _windows(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int]]:
-    """(row, window, place of the anchor in it, start) of a batch of texts with anchor places."""
-    for i, (t, at) in enumerate(zip(b["text"], b["at"], strict=True)):
-        raw = t.as_py().encode()
-        n = len(raw)
-        for p in at.as_py():
-            lo, hi = max(0, p - SPAN), min(n, p + DEPTH)
-            if hi - lo >= DEPTH and p + ANCHOR <= n:
-                yield i, raw[lo:hi], p - lo, lo
-
-
-def _least(b: pa.RecordBatch) -> dict[tuple[bytes, int], object]:
-    """The least document of each window."""
-    ids = b["doc_id"].to_pylist()
-    least: dict[tuple[bytes, int], object] = {}
-    for i, w, a, _ in _windows(b):
-        if (old := least.get((w, a))) is None or ids[i] < old:
-            least[w, a] = ids[i]
-    return least
-
-
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows of each batch's least documents, under their anchors' hashes."""
-    for b in batches:
-        ids, least = b["doc_id"].to_pylist(), _least(b)
-        rows, out = [], [[], [], []]
-        for i, w, a, lo in _windows(b):
-            if least[w, a] == ids[i]:
-                rows.append(i)
-                for c, v in zip(out, (xxhash.xxh64_intdigest(w[a : a + ANCHOR]) - 2**63, w, lo), strict=True):
-                    c.append(v)
-        of = pa.array(rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), b["doc_id"].take(of), b["h"].take(of), pa.array(out[2], pa.int32())], ["key", "window", "doc_id", "h", "lo"])
+        first = _heads(at[starts])
+        last = np.concatenate([first[1:], [len(starts)]]) - 1
+        data = text.tobytes()
+        where = np.array(rows)[doc[first]].tolist()
+        hashes = h[at[starts[first]]].tolist()
+        for i, a, z, p, o, x in zip(where, starts[first].tolist(), (starts[last] + DEPTH).tolist(), at[starts[first]].tolist(), begin[doc[first]].tolist(), hashes, strict=True):
+            yield i, data[a:z], p - a, a - o, x
+
+
+def _sent(buckets: int) -> Callable:
+    """Runs of each batch's least documents, packed by their anchors' hashes; spans of the other documents' runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, least, runs, spans = b["doc_id"].to_pylist(), {}, [], {}
+            for r in _runs(b):
+                k = r[1:3]
+                if (old := least.get(k)) is None or ids[r[0]] < old:
+                    least[k] = ids[r[0]]
+                runs.append(r)
+            sent = [r for r in runs if least[r[1:3]] == ids[r[0]]]
+            for i, w, a, lo, _ in runs:
+                if least[w, a] != ids[i]:
+                    spans.setdefault(i, []).append((lo, lo + len(w)))
+            flat = [(i, *x) for i, s in spans.items() for x in merged(s)]
+            of = pa.array([x[0] for x in flat], pa.int64())
+            empty = pa.nulls(len(flat), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([i % buckets for i, *_ in flat], pa.int32()), empty, b["doc_id"].take(of), b["h"].take(of), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32())], names)
+            of = pa.array([r[0] for r in sent], pa.int64())
+            columns = {"window": pa.array([r[1] for r in sent], pa.binary()), "doc_id": b["doc_id"].take(of), "h": b["h"].take(of), "lo": pa.array([r[3] for r in sent], pa.int32())}
+            blocks = list(_packed(np.array([r[4] for r in sent], np.uint64), columns, buckets)) if sent else []
+            none = pa.nulls(len(blocks), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), pa.array([x[1] for x in blocks], pa.binary()), pa.nulls(len(blocks), b["doc_id"].type), none, none, none], names)
+
+    names = ["bucket", "block", "doc_id", "h", "a", "z"]
+    return run
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -171,91 +234,86 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of windows that a smaller document of the same batch has too."""
-    for b in batches:
-        ids, least = b["doc_id"].to_pylist(), _least(b)
-        spans: dict[int, list[tuple[int, int]]] = {}
-        for i, w, a, lo in _windows(b):
-            if least[w, a] != ids[i]:
-                spans.setdefault(i, []).append((lo, lo + len(w)))
-        flat = [(i, *x) for i, s in spans.items() for x in merged(s)]
-        of = pa.array([x[0] for x in flat], pa.int64())
-        yield pa.RecordBatch.from_arrays([b["doc_id"].take(of), b["h"].take(of), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32())], ["doc_id", "h", "a", "z"])
-
-
-def shard_spans(windows: list[bytes], docs: list, starts: list[int]) -> Iterator[tuple[int, int, int]]:
-    """(row, from, to) of what each row loses to smaller documents; rows with equal windows stand together."""
-    kinds: list[bytes] = []
-    of = []
-    for w in windows:
-        if not kinds or kinds[-1] != w:
-            kinds.append(w)
-        of.append(len(kinds) - 1)
+def shard_spans(windows: pa.Array, docs: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, from, to): what rows lose to smaller documents."""
+    coded = windows.dictionary_encode()
+    kinds, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     sizes = np.array([len(w) for w in kinds])
     ends = np.cumsum(sizes)
     valid = sizes - DEPTH + 1
     begin = np.cumsum(valid) - valid
-    offset = np.arange(valid.sum()) - np.repeat(begin, valid)
-    cls = prefix_classes(np.frombuffer(b"".join(kinds), np.uint8), np.repeat(ends - sizes, valid) + offset)
-    # Documents as ranks, so that any orderable id will do.
-    ranked = sorted(set(docs))
-    rank_of = {d: i for i, d in enumerate(ranked)}
-    rank = np.array([rank_of[d] for d in docs])
-    of = np.array(of)
-    own = np.full(len(kinds), len(ranked))
+    kind = np.repeat(np.arange(len(kinds)), valid)
+    offset = np.arange(len(kind)) - begin[kind]
+    cls = prefix_classes(np.frombuffer(b"".join(kinds), np.uint8), (ends - sizes)[kind] + offset)
+    ids = docs.dictionary_encode()
+    rank = pa.compute.rank(ids.dictionary, tiebreaker="dense").to_numpy().astype(np.int64)[ids.indices.to_numpy()]
+    own = np.full(len(kinds), 2**62)
     np.minimum.at(own, of, rank)
-    least = np.full(int(cls.max()) + 1, len(ranked))
-    np.minimum.at(least, cls, np.repeat(own, valid))
-    lead = least[cls]
-    for r, (k, d) in enumerate(zip(of.tolist(), rank.tolist(), strict=True)):
-        lost = np.flatnonzero(lead[begin[k] : begin[k] + valid[k]] < d)
-        if len(lost):
-            cut = np.flatnonzero(np.diff(lost) > DEPTH)
-            for a, z in zip(lost[np.concatenate([[0], cut + 1])].tolist(), lost[np.concatenate([cut, [len(lost) - 1]])].tolist(), strict=True):
-                yield r, starts[r] + a, starts[r] + z + DEPTH
+    least = np.full(int(cls.max()) + 1, 2**62)
+    np.minimum.at(least, cls, own[kind])
+    # A row above its window's least document loses all of it; the least one's rows lose what other windows have.
+    above = np.flatnonzero(rank > own[of])
+    lost = least[cls] < own[kind]
+    change = np.flatnonzero(np.diff(np.concatenate([[0], lost.astype(np.int8), [0]])) | np.concatenate([np.diff(np.concatenate([[-1], kind])) != 0, [True]]))
+    a, z = change[:-1], change[1:]
+    a, z = a[lost[a]], z[lost[a]]
+    # Rows of the least document by kind, met with the kind's pieces.
+    rest = np.flatnonzero(rank == own[of])
+    rest = rest[np.argsort(of[rest], kind="stable")]
+    lo, hi = np.searchsorted(kind[a], of[rest], "left"), np.searchsorted(kind[a], of[rest], "right")
+    times = hi - lo
+    row = np.repeat(rest, times)
+    piece = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(lo, times)
+    return (
+        np.concatenate([above, row]),
+        np.concatenate([starts[above], starts[row] + offset[a[piece]]]),
+        np.concatenate([starts[above] + sizes[of[above]], starts[row] + offset[z[piece] - 1] + DEPTH]),
+    )
 
 
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and window; a shard ends where a key ends."""
-    held: list[pa.RecordBatch] = []
-
-    def out(rows: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(shard_spans(rows["window"].to_pylist(), rows["doc_id"].to_pylist(), rows["lo"].to_pylist()))
-        of = pa.array([x[0] for x in found], pa.int64())
-        return pa.RecordBatch.from_arrays([rows["doc_id"].take(of), rows["h"].take(of), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.int32())], ["doc_id", "h", "a", "z"])
-
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        if sum(x["window"].nbytes for x in held) < SHARD:
-            continue
-        rows = joined()
-        key = rows["key"].to_numpy()
-        size = np.cumsum(np.array(pa.compute.binary_length(rows["window"])))
-        ends = np.flatnonzero(key[1:] != key[:-1]) + 1  # the last key may go on
+    """Spans as they come, and those of the packed runs; a shard ends where a key ends."""
+    names = ["doc_id", "h", "a", "z"]
+    passed: list[pa.RecordBatch] = []
+
+    def blocks() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = pa.compute.is_valid(b["block"])
+            passed.append(pa.RecordBatch.from_arrays([b[c] for c in names], names).filter(pa.compute.invert(packed)))
+            yield b.select(["bucket", "block"]).filter(packed)
+
+    for t in _unpacked(blocks()):
+        yield from passed
+        passed.clear()
+        key = t["key"].to_numpy()
+        size = np.cumsum(pa.compute.binary_length(t["window"]).to_numpy())
+        ends = np.concatenate([_heads(key)[1:], [len(key)]])
         at = 0
-        while True:
-            ready = ends[(ends > at) & (size[ends - 1] - (size[at - 1] if at else 0) >= SHARD)]
-            if not len(ready):
-                break
-            yield out(rows.slice(at, int(ready[0]) - at))
-            at = int(ready[0])
-        held = [rows.slice(at)]
-    if held and (rows := joined()).num_rows:
-        yield out(rows)
+        while at < len(key):
+            full = np.searchsorted(size[ends - 1], (size[at - 1] if at else 0) + SHARD)
+            end = int(ends[min(full, len(ends) - 1)])
+            part = t.slice(at, end - at).combine_chunks()
+            row, a, z = shard_spans(part["window"].combine_chunks(), part["doc_id"].combine_chunks(), part["lo"].to_numpy().astype(np.int64))
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part["doc_id"].combine_chunks().take(of), part["h"].combine_chunks().take(of), pa.array(a, pa.int32()), pa.array(z, pa.int32())], names)
+            at = end
+    yield from passed
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zip_ = pa.Codec("zstd", compression_level=3)
+    for b in batches:
+        raw = [t.as_py().encode() for t in b["text"]]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(map(len, raw), pa.int64()), pa.array([zip_.compress(x, asbytes=True) for x in raw], pa.binary())], ["doc_id", "h", "size", "block"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    zip_ = pa.Codec("zstd")
     for b in batches:
         cols: list[list] = [[], [], [], []]
-        for t, h, spans in zip(b["text"], b["h"].to_pylist(), b["spans"], strict=True):
-            raw = t.as_py().encode()
-            found = merged([(s["a"], s["z"]) for s in spans.as_py() or () if s["h"] == h])
+        for i, (h, spans) in enumerate(zip(b["h"].to_pylist(), b["spans"].to_pylist(), strict=True)):
+            raw = zip_.decompress(b["block"][i].as_buffer(), n, asbytes=True) if (n := b["size"][i].as_py()) else b""
+            found = merged([(s["a"], s["z"]) for s in spans or () if s["h"] == h])
             kept, at = [], 0
             for a, z in found:
                 kept.append(raw[at:a])
@@ -271,20 +329,23 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    zipped = f"doc_id {kind}, h int, size long, block binary"
+    hashed = rows.select("doc_id", F.hash("text").alias("h"), "text")
     # The same exchange serves both joins on doc_id.
-    keyed = rows.where(F.col("doc_id").isNotNull()).select("doc_id", F.hash("text").alias("h"), "text")
+    keyed = hashed.where(F.col("doc_id").isNotNull()).mapInArrow(_zipped, zipped).repartition(n, "doc_id")
     met = (
-        rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchored, f"key long, doc_id {kind}, pos int, known boolean")
-        .repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(_met, f"doc_id {kind}, pos int")
+        rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchored(n * BUCKETS), "bucket int, block binary")
+        .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, f"doc_id {kind}, pos int")
     )
     places = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     shared = keyed.join(places.hint("merge"), "doc_id")
-    sent = shared.mapInArrow(_sent, f"key long, window binary, doc_id {kind}, h int, lo int")
-    spans = sent.repartition(n, "key").sortWithinPartitions("key", "window").mapInArrow(_sharded, f"doc_id {kind}, h int, a int, z int")
-    spans = spans.unionByName(shared.mapInArrow(_covered, f"doc_id {kind}, h int, a int, z int"))
+    spans = (
+        shared.mapInArrow(_sent(n * BUCKETS), f"bucket int, block binary, doc_id {kind}, h int, a int, z int")
+        .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sharded, f"doc_id {kind}, h int, a int, z int")
+    )
     lost = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "z")).alias("spans"))
-    joined = keyed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "h", "text", "spans")
-    unnamed = rows.where(F.col("doc_id").isNull()).select("doc_id", F.lit(0).alias("h"), "text", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
+    joined = keyed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "h", "size", "block", "spans")
+    unnamed = hashed.where(F.col("doc_id").isNull()).mapInArrow(_zipped, zipped).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     return joined.unionByName(unnamed).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -98,28 +98,34 @@ def test_substring_dedup(spark, docs):
     assert got == expected_cuts(docs)
 
 
-def test_shards_end_at_keys(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "SHARD", 200)
-    docs = make(5, 40)
-    rows = []
-    for d, t in docs:
-        b = t.encode()
-        at, _ = substrings.anchors(np.frombuffer(b, np.uint8))
-        rows += [(b[p : p + 20], b[max(0, p - 30) : p + 50], d, max(0, p - 30)) for p in at.tolist() if len(b[max(0, p - 30) : p + 50]) >= 50]
+@pytest.mark.parametrize(("shard", "chunk"), [(200, 300), (1, 1), (1 << 20, 1 << 20)])
+def test_shards_and_chunks_of_any_size(monkeypatch, shard, chunk):
+    """The packed rows of both shuffles, without Spark."""
     import pyarrow as pa
 
-    rows.sort(key=lambda r: (r[0], r[1]))
-    keys = {k: i for i, k in enumerate(sorted({r[0] for r in rows}))}
-    batch = pa.RecordBatch.from_arrays(
-        [pa.array([keys[r[0]] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([0] * len(rows), pa.int32()), pa.array([r[3] for r in rows], pa.int32())],
-        ["key", "window", "doc_id", "h", "lo"],
-    )
+    monkeypatch.setattr(substrings, "SHARD", shard)
+    monkeypatch.setattr(substrings, "CHUNK", chunk)
+    docs = make(5, 40)
+    table = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([0] * len(docs), pa.int32()), pa.array([t for _, t in docs])], ["doc_id", "h", "text"])
+
+    def dealt(batches):
+        rows = pa.Table.from_batches([b for b in batches if b.num_rows]).sort_by("bucket")
+        return iter(rows.to_batches(max_chunksize=7))
+
+    met = pa.Table.from_batches(list(substrings._met(dealt(substrings._anchored(3)(iter([table]))))))
+    places = {}
+    for d, p in zip(met["doc_id"].to_pylist(), met["pos"].to_pylist(), strict=True):
+        places.setdefault(d, set()).add(p)
+    zipped = next(substrings._zipped(iter([table])))
+    at = pa.array([sorted(places.get(d, ())) for d, _ in docs], pa.list_(pa.int32()))
+    shared = pa.RecordBatch.from_arrays([*zipped.columns, at], [*zipped.schema.names, "at"])
+    halves = iter([shared.slice(0, 21), shared.slice(21)])
     spans: dict[int, list] = {}
-    for out in substrings._sharded(iter([batch.slice(0, 33), batch.slice(33)])):
+    for out in substrings._sharded(dealt(substrings._sent(3)(halves))):
         for d, _, a, z in zip(*(c.to_pylist() for c in out.columns), strict=True):
             spans.setdefault(d, []).append((a, z))
-    want = {k[0]: k[2] for k in expected_cuts(docs)}
-    assert {d: sum(z - a for a, z in substrings.merged(s)) for d, s in spans.items()} == {d: n for d, n in want.items() if n}
+    want = {k[0]: (k[2], k[3]) for k in expected_cuts(docs) if k[2]}
+    assert {d: (sum(z - a for a, z in substrings.merged(s)), len(substrings.merged(s))) for d, s in spans.items()} == want
 
 
 def test_suffix_order_and_classes():
