@@ -331,10 +331,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     zipped = f"doc_id {kind}, h int, size long, block binary"
     hashed = rows.select("doc_id", F.hash("text").alias("h"), "text")
-    # The same exchange serves both joins on doc_id.
-    keyed = hashed.where(F.col("doc_id").isNotNull()).mapInArrow(_zipped, zipped).repartition(n, "doc_id")
+    # The same exchange serves both joins on doc_id; the second filter is what the first join would add to its side.
+    named = F.col("doc_id").isNotNull()
+    keyed = hashed.where(named).mapInArrow(_zipped, zipped).where(named).repartition(n, "doc_id")
     met = (
-        rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchored(n * BUCKETS), "bucket int, block binary")
+        rows.where(named).mapInArrow(_anchored(n * BUCKETS), "bucket int, block binary")
         .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, f"doc_id {kind}, pos int")
     )
     places = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
@@ -345,7 +346,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     )
     lost = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "z")).alias("spans"))
     joined = keyed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "h", "size", "block", "spans")
-    unnamed = hashed.where(F.col("doc_id").isNull()).mapInArrow(_zipped, zipped).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    unnamed = hashed.where(~named).mapInArrow(_zipped, zipped).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
     return joined.unionByName(unnamed).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
