@@ -44,7 +44,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay "
     "newsletter subscribe subscription signup login sidebar aside widget widgets menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar "
-    "comment comments respond disqus discussion replies related recommended share sharing social skip disclaimer alert".split()
+    "comment comments respond disqus replies related recommended share sharing social skip alert".split()
 )
 HEADERS = frozenset({("header",), ("site", "header"), ("page", "header"), ("top", "header"), ("main", "header"), ("global", "header")})
 OPENING = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|([!?])|(/?)([a-zA-Z][^\s/>]*)([^>]*)>)")

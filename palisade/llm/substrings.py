@@ -35,9 +35,10 @@ from palisade.llm.suffixes import DEPTH, prefix_classes
 
 ANCHOR = 20
 SPAN = DEPTH - ANCHOR  # an anchor's string starts at most so far before it
-CHUNK = 3 << 20  # bytes hashed at once
+CHUNK = 1 << 20  # bytes hashed at once
+PART = 8 << 20  # bytes of text whose runs are held at once
 SHARD = 1 << 20  # bytes sorted at once
-BUCKETS = 2  # of each partition
+BUCKETS = 4  # of each partition
 _BASE = 0x100000001B3
 _INDEX = np.uint64(2**36 - 1)
 
@@ -170,6 +171,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(["doc_id", "pos"]).filter(keep).combine_chunks().to_batches()
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``PART`` bytes of text, or of one row."""
+    for b in batches:
+        size, at = np.cumsum(b["size"].to_numpy()), 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + PART, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int]]:
     """(row, bytes, anchor's place in them, start in the text, hash) of each run of strings with a shared anchor."""
     zip_ = pa.Codec("zstd")
@@ -199,7 +210,7 @@ def _sent(buckets: int) -> Callable:
     """Runs of each batch's least documents, packed by their anchors' hashes; spans of the other documents' runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _parts(batches):
             ids, least, runs, spans = b["doc_id"].to_pylist(), {}, [], {}
             for r in _runs(b):
                 k = r[1:3]
