@@ -310,10 +310,10 @@ def test_identities(monkeypatch):
     import json
 
     monkeypatch.setenv("SECRET_KEY", "topsecret")
-    monkeypatch.setenv("KEY_HASH", identity.api_key_hash("pepper", "sl.demo", "s3cret"))
-    b = [Policy("SubjectBinding", "b", spec={"issuer": "iss", "audience": "me", "hmacSecretRef": "secret://env/SECRET_KEY", "claims": {"groups": "realm.roles"}, "apiKeys": [{"id": "sl.demo", "hashRef": "secret://env/KEY_HASH", "groups": ["g"]}]})]
-    u = identity.from_api_key("sl.demo.s3cret", "pepper", b)
-    assert (u.subject, u.groups, u.auth_method) == ("sl.demo", ("g",), "api_key") and code(identity.from_api_key, "sl.demo.nope", "pepper", b) == "ERR_UNAUTHORIZED"
+    monkeypatch.setenv("KEY_HASH", identity.api_key_hash("pepper", "key.demo", "s3cret"))
+    b = [Policy("SubjectBinding", "b", spec={"issuer": "iss", "audience": "me", "hmacSecretRef": "secret://env/SECRET_KEY", "claims": {"groups": "realm.roles"}, "apiKeys": [{"id": "key.demo", "hashRef": "secret://env/KEY_HASH", "groups": ["g"]}]})]
+    u = identity.from_api_key("key.demo.s3cret", "pepper", b)
+    assert (u.subject, u.groups, u.auth_method) == ("key.demo", ("g",), "api_key") and code(identity.from_api_key, "key.demo.nope", "pepper", b) == "ERR_UNAUTHORIZED"
 
     def token(claims, key=b"topsecret", alg="HS256"):
         p = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
