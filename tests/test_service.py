@@ -327,6 +327,34 @@ def test_identities(monkeypatch):
         assert code(identity.from_jwt, bad, b, clock=lambda: 900) == "ERR_UNAUTHORIZED"
 
 
+def test_public_key_tokens():
+    """The ES256 example of RFC 7515, and an RSA key made of two Mersenne-like primes for the test."""
+    import base64
+    import hashlib
+    import json
+
+    p = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    head = "eyJhbGciOiJFUzI1NiJ9"
+    body = "eyJpc3MiOiJqb2UiLA0KICJleHAiOjEzMDA4MTkzODAsDQogImh0dHA6Ly9leGFtcGxlLmNvbS9pc19yb290Ijp0cnVlfQ"
+    sign = "DtEhU3ljbEg8L38VWAfUAqOyKAM6-Xx-F4GawxaepmXFCgfTjDxw5djxLa8ISlSApmWQxfKTUJqPP3-Kg6NU1Q"
+    key = {"kty": "EC", "crv": "P-256", "x": "f83OJ3D2xF1Bg8vub9tLe1gHMzV76e8Tus9uPHvRVEU", "y": "x_FEzRu9m36HLN_tue659LNpXW6pCyStikYjKIWI5a0"}
+    b = [Policy("SubjectBinding", "b", spec={"issuer": "joe", "jwksUrl": "https://keys", "claims": {"subjectId": "iss"}})]
+    keys = {"keys": [key]}
+    assert identity.from_jwt(f"{head}.{body}.{sign}", b, clock=lambda: 1300819000, fetch=lambda u: keys).subject == "joe"
+    assert code(identity.from_jwt, f"{head}.{body}.{sign[:-2]}2Q", b, clock=lambda: 1300819000, fetch=lambda u: keys) == "ERR_UNAUTHORIZED"
+    primes = 2**1279 - 1, 2**2203 - 1
+    n, e = primes[0] * primes[1], 65537
+    d = pow(e, -1, (primes[0] - 1) * (primes[1] - 1))
+    size = (n.bit_length() + 7) // 8
+    data = f"{p(json.dumps({'alg': 'RS256', 'kid': 'k'}).encode())}.{p(json.dumps({'iss': 'joe', 'exp': 10}).encode())}"
+    digest = bytes.fromhex(identity.DIGESTS["256"][1]) + hashlib.sha256(data.encode()).digest()
+    padded = b"\0\1" + b"\xff" * (size - len(digest) - 3) + b"\0" + digest
+    good = pow(int.from_bytes(padded), d, n).to_bytes(size)
+    rsa = {"keys": [{"kty": "RSA", "kid": "k", "n": p(n.to_bytes(size)), "e": p(e.to_bytes(3))}]}
+    assert identity.from_jwt(f"{data}.{p(good)}", b, clock=lambda: 5, fetch=lambda u: rsa).subject == "joe"
+    assert code(identity.from_jwt, f"{data}.{p(good[:-1] + b'x')}", b, clock=lambda: 5, fetch=lambda u: rsa) == "ERR_UNAUTHORIZED"
+
+
 def test_filters_reach_the_scan(spark):
     from palisade.queries import governed
 
