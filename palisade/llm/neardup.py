@@ -178,16 +178,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = settle(both.mapInArrow(_linked, f"a {kind}, b {kind}"))
     first = settle(components(links))
 
-    comp = shared.where(F.col("n") > 2).join(first, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("comp"))
-    open_ = comp.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("band")
+    # A bucket's nodes are dealt by chunk wherever they meet, so that a large bucket is never in one task.
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    others = F.explode(F.sequence(F.lit(0), chunks - 1))
+    comp = shared.where(F.col("n") > 2).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).join(first, "node", "left")
+    comp = comp.select("band", "node", "n", "chunk", F.coalesce("root", "node").alias("comp"))
+    apart = comp.groupBy("band", "n").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi"))
     tiles = (
-        comp.join(open_, "band")
-        .select("band", "node", "comp", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        comp.join(apart.select("band", others.alias("chunk")), ["band", "chunk"])
+        .select("band", "node", "comp", "chunk", others.alias("other"))
         .select("band", "node", "comp", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         .join(sets, "node")
-    )
+    )
     more = tiles.groupBy("band", "i", "j").applyInArrow(_tile, f"a {kind}, b {kind}")
     final = components(links.unionByName(more.distinct()))
 
