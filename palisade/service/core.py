@@ -7,6 +7,7 @@ import datetime as dt
 import hashlib
 import io
 import json
+import re
 import threading
 import time
 import uuid
@@ -162,7 +163,7 @@ class Governed:
             df, text = S.secure(self.session, p.parsed, p.keys, self.catalog.load, p.decision, user, facts, self.masks, args)
             if p.parsed.explain:
                 df = self.session.createDataFrame([(S.explain_text(df),)], "plan string")
-            self._record("access", p, sql, user, facts, meta, rewritten_fingerprint=P.fingerprint(text.replace(next(iter(text.split("__gov_")[1:]), "")[:32] or "\0", "")))
+            self._record("access", p, sql, user, facts, meta, rewritten_fingerprint=P.fingerprint(re.sub(r"__gov_[0-9a-f]{32}", "", text)))
             return p, df
         except GovernError as e:
             if e.code != "ERR_AUDIT_UNAVAILABLE":

@@ -69,10 +69,14 @@ def view_name(path: str) -> str:
 
 
 class ParquetSource(Source):
-    """Parquet files and folders: one table in schema ``main`` for each allowed path."""
+    """Parquet files and folders: one table in schema ``main`` for each allowed path.
 
-    def __init__(self, name: str, spec: dict[str, Any]):
+    A table's schema is kept for ``ttl`` seconds, so that a query does not open files only to plan.
+    """
+
+    def __init__(self, name: str, spec: dict[str, Any], ttl: float = 600, clock: Callable[[], float] = time.monotonic):
         super().__init__(name, spec)
+        self.ttl, self.clock, self.schemas = ttl, clock, {}
         base = f"s3a://{spec['bucket']}/{spec.get('prefix', '').strip('/')}".rstrip("/") + "/" if spec.get("bucket") else spec.get("prefix", "")
         self.paths: dict[str, str] = {}
         for p in spec.get("allowedPaths") or []:
@@ -88,7 +92,16 @@ class ParquetSource(Source):
         return [TableKey(self.name, "main", t) for t in self.paths if self.visible("main", t)]
 
     def load(self, spark: SparkSession, key: TableKey) -> DataFrame:
-        return spark.read.parquet(self.paths[key.table])
+        path, now = self.paths[key.table], self.clock()
+        if (hit := self.schemas.get(path)) and now - hit[0] < self.ttl:
+            return spark.read.schema(hit[1]).parquet(path)
+        df = spark.read.parquet(path)
+        self.schemas[path] = (now, df.schema)
+        return df
+
+    def probe(self, spark: SparkSession) -> None:
+        for path in self.paths.values():
+            spark.read.parquet(path)
 
 
 class JdbcSource(Source):
