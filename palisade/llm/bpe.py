@@ -105,8 +105,13 @@ def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataF
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, get, zip_ = Words(tokenizer.value).split, head_dict(head).get, pa.Codec("zstd", compression_level=3)
         for b in batches:
-            ids = [b"".join([get(w, hole) for w in split(t.as_py())]) for t in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(map(len, ids), pa.int64()), pa.array([zip_.compress(x, asbytes=True) for x in ids], pa.binary())], ["doc_id", "h", "size", "ids"])
+            sizes, ids = [], []
+            for t in b["text"]:
+                raw = b"".join([get(w, hole) for w in split(t.as_py())])
+                sizes.append(len(raw))
+                ids.append(zip_.compress(raw, asbytes=True))
+            front = pa.array(np.full(b.num_rows, -1), pa.int32())
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], front, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names)
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, have = Words(tokenizer.value).split, head_dict(head)
@@ -128,32 +133,55 @@ def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataF
                 if w != last:
                     last, ids = w, np.array(encode_word(w), unit).tobytes()
                 out.append(ids)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], b["pos"], pa.array(out, pa.binary())], ["doc_id", "h", "pos", "ids"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], b["pos"], pa.array(map(len, out), pa.int64()), pa.array(out, pa.binary())], names)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_ = pa.Codec("zstd")
-        for b in batches:
-            out = []
-            for size, ids, rest in zip(b["size"].to_pylist(), b["ids"], b["rest"].to_pylist(), strict=True):
-                a = np.frombuffer(zip_.decompress(ids.as_buffer(), size, asbytes=True) if size else b"", unit)
-                if rest:
+        """Rows sorted by document and position: first its own, with holes, then what goes into them."""
+        zip_, at, whole, pieces, ids, texts = pa.Codec("zstd"), None, [], [], [], []
+
+        def placed() -> None:
+            for size, data in whole:
+                a = np.frombuffer(zip_.decompress(data, size, asbytes=True) if size else b"", unit)
+                if pieces:
                     holes = np.flatnonzero(a == np.array(-1).astype(unit))
-                    new = [np.frombuffer(r["ids"], unit) for r in rest]
+                    new = [np.frombuffer(x, unit) for _, x in pieces]
                     a = np.insert(np.delete(a, holes), np.repeat(holes - np.arange(len(holes)), [len(x) for x in new]), np.concatenate(new))
-                out.append(a.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array([len(x) // 4 for x in out], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n_tokens", "ids"])
-
+                ids.append(at[0])
+                texts.append(a.astype("<u4").tobytes())
+            whole.clear()
+            pieces.clear()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_arrays([pa.array(ids, arrow_kind), pa.array([len(x) // 4 for x in texts], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids.clear()
+            texts.clear()
+            return b
+
+        arrow_kind = None
+        for b in batches:
+            arrow_kind = b["doc_id"].type
+            for doc, h, pos, size, data in zip(*(b[c].to_pylist() for c in names), strict=True):
+                if at is None or (doc, h) != at:
+                    placed()
+                    at = (doc, h)
+                    if len(texts) >= 1000:
+                        yield out()
+                if pos < 0:
+                    whole.append((size, data))
+                elif not pieces or pieces[-1][0] != pos:  # rows that repeat doc_id and text bring the same pieces
+                    pieces.append((pos, data))
+        placed()
+        if texts:
+            yield out()
+
+    names = ["doc_id", "h", "pos", "size", "ids"]
     kind, rows, n = docs.schema["doc_id"].dataType.simpleString(), keyed(docs), partitions(docs.sparkSession)
+    schema = f"doc_id {kind}, h int, pos int, size long, ids binary"
     head = head_of(word_counts(docs, lambda: Words(tokenizer.value).split), once, "word string, ids binary", head_words)
-    front = rows.mapInArrow(known, f"doc_id {kind}, h int, size long, ids binary")
-    tail = (
-        rows.mapInArrow(others, f"doc_id {kind}, h int, pos int, word string")
-        .repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, f"doc_id {kind}, h int, pos int, ids binary")
-    )
-    # A set: rows that repeat doc_id and text bring the same members.
-    placed = tail.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "ids"))).alias("rest")).select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "rest")
-    joined = front.join(placed, front["doc_id"].eqNullSafe(placed["d"]) & (front["h"] == placed["t"]), "left")
-    return joined.select("doc_id", "size", "ids", "rest").mapInArrow(fill, f"doc_id {kind}, n_tokens long, ids binary")
+    front = rows.mapInArrow(known, schema)
+    tail = rows.mapInArrow(others, f"doc_id {kind}, h int, pos int, word string").repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, schema)
+    both = front.unionByName(tail).repartition(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "pos")
+    return both.mapInArrow(fill, f"doc_id {kind}, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, content: str) -> DataFrame:
