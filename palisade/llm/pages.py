@@ -30,6 +30,8 @@ from palisade.llm.common import settle, table
 LEAST_PAGES, SHARE = 5, 0.3
 INNER_PAGES, INNER_SHARE = 10, 0.8
 FLUSH = 200_000
+#: Template hashes (8 bytes each) of all hosts that may be broadcast.
+BROADCAST_HASHES = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea select svg math object canvas audio video xmp noembed noframes".split())
@@ -262,7 +264,10 @@ def template_subtrees(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    known = template_subtrees(pages)
+    known = settle(template_subtrees(pages))
+    held = known.agg(F.sum(F.size("outer") + F.size("inner") + 8)).first()[0] or 0
+    # A small table goes to the pages, which then need no shuffle; a large one meets them by host, hot hosts split by AQE.
+    known = F.broadcast(known) if held <= BROADCAST_HASHES else known
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "outer", "inner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,7 +129,9 @@ def test_main_text(html, text):
     assert pages.main_text(html) == text
 
 
-def test_template_removal(spark):
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_template_removal(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(pages, "BROADCAST_HASHES", broadcast)
     page = lambda i, h: f"<body><div><p>Welcome to the site</p></div><div><p>Story {h} {i} tells of {i * 7} things.</p></div></body>"
     rows = [(i, f"https://h{i % 2}.example/{i}", page(i, i % 2)) for i in range(24)] + [(100, None, "<p>alone</p>"), (None, "odd", None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS hash")
