@@ -1,11 +1,13 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates, and phrase places.
+"""License scan: an exact set-similarity join of text blocks with license templates, and phrase places.
 
 Built-in DataFrame functions only.  A block matches a template if it holds at least ``threshold`` of the template's
-distinct words.  One pass counts how many blocks hold each template word (the global frequency order, rarest first);
-the second keeps of each block only its template words in that order and joins them with the templates' prefixes
-(the first |T| - need + 1 words: any match must share one).  The length filter drops blocks with fewer than ``need``
-template words, the positional filter drops shared words after which too few words are left on either side, and the
-rest is verified by the full intersection.  Template lists are bounded (``MAX_TEMPLATES``), so prefixes are broadcast.
+distinct words.  Blocks are single lines, and all windows of as many words as the template has over the whole text, so
+that a notice may wrap over lines.  One pass counts how many texts hold each template word (the global frequency order,
+rarest first); the second keeps of each text only its template words in that order and joins them with the templates'
+prefixes (the first |T| - need + 1 words: any match must share one).  The length filter drops texts with fewer than
+``need`` template words, the positional filter drops shared words after which too few words are left on either side,
+and the rest is verified by the full intersection, of the text and then of its blocks.  Template lists are bounded
+(``MAX_TEMPLATES``), so prefixes are broadcast.
 
 Defined cases: null text is empty; empty and letterless texts give 0 words and no label; a null doc_id is kept as
 its own row; repeated rows each give a row; extra columns are ignored; an empty table gives an empty result.
@@ -42,12 +44,19 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 MAX_TEMPLATES = 2_000
+#: So many prefix words are looked for as plain parts of a text before it is split into words.
+MAX_PARTS = 100
 
 
 def words(lowered: Column) -> Column:
     return F.regexp_extract_all(lowered, F.lit(WORDS), F.lit(0))
 
 
+def _once(c: Column) -> Column:
+    """``c``, which Spark then neither computes again in a filter below nor merges into its users."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)).cast("array<string>")
 
@@ -65,37 +74,91 @@ def _need(size: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * size - 1e-9))
 
 
-def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text_hash, block, label, containment): every line that meets a template."""
-    spark = docs.sparkSession
-    named = template_words(TEMPLATES if templates is None else templates)
-    vocabulary = sorted({w for ws in named.values() for w in ws})
-    least = min((_need(len(ws), threshold) for ws in named.values()), default=1)
-    blocks = (
-        docs.select("doc_id", text_hash().alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
-        .select("doc_id", "text_hash", "block", F.array_intersect(words(ascii_lower(F.col("line"))), _strings(vocabulary)).alias("ws"))
-    )
+def _ranked(blocks: DataFrame, named: dict[str, list[str]], threshold: float) -> tuple[list[str], list[tuple]]:
+    """The words of ``blocks.ws`` and of the templates, rarest first; the templates' prefixes in that order."""
     counts = {r["w"]: r["n"] for r in blocks.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most the vocabulary
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+    order = sorted({w for ws in named.values() for w in ws}, key=lambda w: (counts.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     prefixes = []
     for label, ws in named.items():
         ordered, need = sorted(ws, key=rank.__getitem__), _need(len(ws), threshold)
         prefixes += [(w, label, ordered, i, len(ws), need) for i, w in enumerate(ordered[: len(ws) - need + 1])]
-    prefix = spark.createDataFrame(prefixes, "w string, label string, tws array<string>, at int, size int, need int")
+    return order, prefixes
+
+
+def _met(blocks: DataFrame, order: list[str], prefixes: list[tuple]) -> DataFrame:
+    """Each row of ``blocks`` with each template whose words ``ws`` holds: label, tws, size, need, shared."""
+    prefix = blocks.sparkSession.createDataFrame(prefixes, "w string, label string, tws array<string>, at int, size int, need int")
+    least = min((p[5] for p in prefixes), default=1)
     # Array_intersect keeps the order of its first argument: here, the global order.
     ordered = blocks.where(F.size("ws") >= least).withColumn("ws", F.array_intersect(_strings(order), "ws"))
-    hits = (
+    return (
         ordered.select("*", F.size("ws").alias("held"), F.posexplode("ws").alias("pos", "w"))
         .join(F.broadcast(prefix), "w")
         .where(F.col("held") >= F.col("need"))
         .where(1 + F.least(F.col("size") - F.col("at") - 1, F.col("held") - F.col("pos") - 1) >= F.col("need"))
-        .withColumn("shared", F.size(F.array_intersect("ws", "tws")))
-        .where(F.col("shared") >= F.col("need"))
+        .withColumn("both", F.array_intersect("ws", "tws"))
+        .where((F.size("both") >= F.col("need")) & (F.get("both", F.lit(0)) == F.col("w")))  # at the first shared word only
+        .withColumn("shared", F.size("both"))
     )
+
+
+def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_hash, block, label, containment): every line that meets a template."""
+    named = template_words(TEMPLATES if templates is None else templates)
+    vocabulary = _strings(sorted({w for ws in named.values() for w in ws}))
+    lines = docs.select("doc_id", text_hash().alias("text_hash"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("block", "line"))
+    blocks = lines.select("doc_id", "text_hash", "block", _once(F.array_intersect(words(ascii_lower(F.col("line"))), vocabulary)).alias("ws"))
+    hits = _met(blocks, *_ranked(blocks, named, threshold))
     return hits.select("doc_id", "text_hash", "block", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
+def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, text_hash, label, places): where a line, or a window of the template's length, meets a template.
+
+    A place (start, end, block, containment) reaches from the first to the last word needed; its block is the line,
+    null if it goes over several.
+    """
+    import re
+
+    templates = TEMPLATES if templates is None else templates
+    named = template_words(templates)
+    vocabulary = _strings(sorted({w for ws in named.values() for w in ws}))
+    low = docs.select("doc_id", text_hash().alias("text_hash"), _once(ascii_lower(F.coalesce("text", F.lit("")))).alias("low"))
+    held = _once(F.array_intersect(words(F.col("low")), vocabulary)).alias("ws")
+    order, prefixes = _ranked(low.select(held), named, threshold)
+    parts = sorted({p[0] for p in prefixes})
+    if 0 < len(parts) <= MAX_PARTS:  # a text without any of them meets no template
+        some = F.lit(False)
+        for w in parts:
+            some = some | F.contains("low", F.lit(w))
+        low = low.where(some)
+    lengths = F.create_map(*(F.lit(x) for label in named for x in (label, len(re.findall(WORDS, templates[label].lower()))))) if named else F.create_map().cast("map<string,int>")
+    hits = _met(low.select("*", held), order, prefixes).select("doc_id", "text_hash", "low", "label", "tws", "size", "need", lengths[F.col("label")].alias("span"))
+    tokens = F.flatten(F.transform(F.split("low", "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(i.alias("block"), w.alias("w")))))
+    hits = hits.select("*", _once(F.transform(tokens, lambda t, p: F.struct(p.alias("p"), t["block"].alias("block"), t["w"].alias("w")))).alias("all"))
+    hits = hits.select("*", _once(F.filter("all", lambda x: F.array_contains("tws", x["w"]))).alias("mine")).drop("all", "low")
+    block = lambda i: F.get("mine", i)["block"]
+    first = F.filter(F.transform("mine", lambda _, i: i), lambda i: (i == 0) | (block(i) != block(i - 1)))
+    hits = hits.select("*", _once(first).alias("first"))
+    lines = F.transform("first", lambda s, k: F.slice("mine", s + 1, F.coalesce(F.get("first", k + 1), F.size("mine")) - s))
+    windows = F.transform("mine", lambda m, i: F.filter(F.slice("mine", i + 1, F.col("span")), lambda x: x["p"] < m["p"] + F.col("span")))
+    met = F.filter(F.transform(F.concat(lines, windows), lambda v: F.struct(v.alias("v"), F.array_distinct(v["w"]).alias("d"))), lambda x: F.size(x["d"]) >= F.col("need"))
+    hits = hits.select("doc_id", "text_hash", "label", "size", _once(met).alias("met"))
+    # The end is the last of the words' first places, the start is then the first of their last places.
+    at = lambda x, u: F.get(x["v"]["p"], (F.array_position(x["v"]["w"], u) - 1).cast("int"))
+    ended = F.transform("met", lambda x: F.struct(x["v"].alias("v"), x["d"].alias("d"), F.array_max(F.transform(x["d"], lambda u: at(x, u))).alias("end")))
+    hits = hits.select("doc_id", "text_hash", "label", "size", _once(ended).alias("met"))
+
+    def place(x: Column) -> Column:
+        lasts = F.transform(x["d"], lambda u: F.array_max(F.filter(x["v"], lambda y: (y["w"] == u) & (y["p"] <= x["end"]))["p"]))
+        inside = F.array_distinct(F.filter(x["v"], lambda y: y["p"] <= x["end"])["block"])
+        return F.struct(F.array_min(lasts).alias("start"), x["end"].alias("end"), F.when(F.size(inside) == 1, F.get(inside, F.lit(0))).alias("block"), (F.size(x["d"]) / F.col("size")).alias("containment"))
+
+    hits = hits.select("doc_id", "text_hash", "label", F.explode(F.array_distinct(F.transform("met", place))).alias("place"))
+    return hits.groupBy("doc_id", "text_hash", "label").agg(F.collect_set("place").alias("places"))
+
+
 def _places(w: Column, phrase: list[str]) -> Column:
     """Starts of ``phrase`` in the word array ``w``."""
     last = F.size(w) - len(phrase)
@@ -131,9 +194,12 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     places = F.concat(*(F.col(f"at{k}") for k in range(len(split)))) if split else none
     named = F.array(*(F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values()))).cast("array<string>")
     base = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.sort_array(F.array_distinct(F.array_compact(named))).alias("named"))
-    hits = similar_blocks(docs, templates, threshold).groupBy("doc_id", "text_hash", "block").agg(F.max("containment").alias("best"), F.collect_list(F.struct("label", "containment")).alias("all"))
-    closest = F.transform(F.filter("all", lambda x: x["containment"] == F.col("best")), lambda x: x["label"])
-    found = hits.groupBy("doc_id", "text_hash").agg(F.array_distinct(F.flatten(F.collect_list(closest))).alias("more"), F.max("best").alias("best"))
+    hits = similar_places(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("label", "places")).alias("hits"))
+    hits = hits.select("*", F.array_distinct(F.flatten("hits.places")).alias("all"))
+    # A line's labels are those of its closest templates.
+    closer = lambda p, q: (q["containment"] > p["containment"]) & (q["block"] == p["block"])
+    stays = F.filter("hits", lambda h: F.exists(h["places"], lambda p: ~F.exists("all", lambda q: F.coalesce(closer(p, q), F.lit(False)))))
+    found = hits.select("doc_id", "text_hash", stays["label"].alias("more"), F.array_max(F.col("all")["containment"]).alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "more", "best")
     both = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["text_hash"] == found["t"]), "left")
     return both.select(

@@ -55,6 +55,36 @@ def test_similar_blocks_equal_brute_force(spark):
         assert {(x["doc_id"], x["block"], x["label"], x["containment"]) for x in got.collect()} == want
 
 
+def test_wrapped_notices(spark):
+    isc = "Permission to use, copy, modify, and/or distribute\nthis software for any purpose with or without fee\nis hereby granted, provided"
+    mit = "x\n * Permission is hereby granted, free of\n * charge, to any person obtaining a copy\n * of this software and associated documentation\n * files (the"
+    far = "permission to use copy modify\n" + "other words are between these here and there\n" * 9 + "and or distribute this software for any purpose with or without fee"
+    docs = [(1, isc), (2, mit), (3, far), (4, isc.replace("\n", " ")), (5, isc + "\n" + mit), (5, isc + "\n" + mit)]
+    got = Counter((r["doc_id"], r["labels"]) for r in licenses.license_scan(spark.createDataFrame(docs, DOCS)).collect())
+    assert got == {(1, "isc"): 1, (2, "mit-text"): 1, (3, ""): 1, (4, "isc"): 1, (5, "isc,mit-text"): 2}
+
+
+def test_similar_places_equal_brute_force(spark):
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(25)]
+    templates = {f"t{i}": " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 8))) for i in range(12)}
+    docs = [(i, "\n".join(" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 9))) for _ in range(4))) for i in range(60)]
+    for threshold in (0.5, 0.8):
+        want = {}
+        for d, t in docs:
+            for label, text in templates.items():
+                a, n, ws = set(text.split()), len(text.split()), t.split()
+                blocks = [x.split() for x in t.split("\n")] + [ws[i : i + n] for i in range(len(ws))]
+                most = max(len(a & set(b)) for b in blocks)
+                if most >= threshold * len(a) - 1e-9:
+                    want[d, label] = most / len(a)
+        got = {(x["doc_id"], x["label"]): x["places"] for x in licenses.similar_places(spark.createDataFrame(docs, DOCS), templates, threshold).collect()}
+        assert {k: max(p["containment"] for p in v) for k, v in got.items()} == want
+        for (d, label), places in got.items():
+            ws, a = dict(docs)[d].split(), set(templates[label].split())
+            assert all(len(a & set(ws[p["start"] : p["end"] + 1])) == round(p["containment"] * len(a)) and {ws[p["start"]], ws[p["end"]]} <= a for p in places)
+
+
 # Decontamination.
 
 
