@@ -116,8 +116,8 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
 def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, label, places): where a line, or a window of the template's length, meets a template.
 
-    A place (start, end, block, containment) reaches from the first to the last word needed; its block is the line,
-    null if it goes over several.
+    A place (start, end, dense, containment) reaches from the first to the last word needed; it is dense if it is no
+    longer than the template.
     """
     import re
 
@@ -144,16 +144,16 @@ def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, thr
     lines = F.transform("first", lambda s, k: F.slice("mine", s + 1, F.coalesce(F.get("first", k + 1), F.size("mine")) - s))
     windows = F.transform("mine", lambda m, i: F.filter(F.slice("mine", i + 1, F.col("span")), lambda x: x["p"] < m["p"] + F.col("span")))
     met = F.filter(F.transform(F.concat(lines, windows), lambda v: F.struct(v.alias("v"), F.array_distinct(v["w"]).alias("d"))), lambda x: F.size(x["d"]) >= F.col("need"))
-    hits = hits.select("doc_id", "text_hash", "label", "size", _once(met).alias("met"))
+    hits = hits.select("doc_id", "text_hash", "label", "size", "span", _once(met).alias("met"))
     # The end is the last of the words' first places, the start is then the first of their last places.
     at = lambda x, u: F.get(x["v"]["p"], (F.array_position(x["v"]["w"], u) - 1).cast("int"))
     ended = F.transform("met", lambda x: F.struct(x["v"].alias("v"), x["d"].alias("d"), F.array_max(F.transform(x["d"], lambda u: at(x, u))).alias("end")))
-    hits = hits.select("doc_id", "text_hash", "label", "size", _once(ended).alias("met"))
+    hits = hits.select("doc_id", "text_hash", "label", "size", "span", _once(ended).alias("met"))
 
     def place(x: Column) -> Column:
         lasts = F.transform(x["d"], lambda u: F.array_max(F.filter(x["v"], lambda y: (y["w"] == u) & (y["p"] <= x["end"]))["p"]))
-        inside = F.array_distinct(F.filter(x["v"], lambda y: y["p"] <= x["end"])["block"])
-        return F.struct(F.array_min(lasts).alias("start"), x["end"].alias("end"), F.when(F.size(inside) == 1, F.get(inside, F.lit(0))).alias("block"), (F.size(x["d"]) / F.col("size")).alias("containment"))
+        start = F.array_min(lasts)
+        return F.struct(start.alias("start"), x["end"].alias("end"), (x["end"] - start < F.col("span")).alias("dense"), (F.size(x["d"]) / F.col("size")).alias("containment"))
 
     hits = hits.select("doc_id", "text_hash", "label", F.explode(F.array_distinct(F.transform("met", place))).alias("place"))
     return hits.groupBy("doc_id", "text_hash", "label").agg(F.collect_set("place").alias("places"))
@@ -175,7 +175,7 @@ def _places(w: Column, phrase: list[str]) -> Column:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of ``docs``: the contract columns of ``op1_license_scan``.
 
-    Of the templates that a block meets, those of the greatest containment give it their labels.
+    Every template that is met gives its label, unless each of its places lies in a dense one of a closer template.
     """
     phrases = PHRASES if phrases is None else phrases
     docs = docs.select("doc_id", "text")
@@ -196,9 +196,8 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, phras
     base = base.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), places.alias("places"), F.sort_array(F.array_distinct(F.array_compact(named))).alias("named"))
     hits = similar_places(docs, templates, threshold).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("label", "places")).alias("hits"))
     hits = hits.select("*", F.array_distinct(F.flatten("hits.places")).alias("all"))
-    # A line's labels are those of its closest templates.
-    closer = lambda p, q: (q["containment"] > p["containment"]) & (q["block"] == p["block"])
-    stays = F.filter("hits", lambda h: F.exists(h["places"], lambda p: ~F.exists("all", lambda q: F.coalesce(closer(p, q), F.lit(False)))))
+    covers = lambda q, p: q["dense"] & (q["containment"] > p["containment"]) & (q["start"] <= p["start"]) & (q["end"] >= p["end"])
+    stays = F.filter("hits", lambda h: F.exists(h["places"], lambda p: ~F.exists("all", lambda q: covers(q, p))))
     found = hits.select("doc_id", "text_hash", stays["label"].alias("more"), F.array_max(F.col("all")["containment"]).alias("best"))
     found = found.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "more", "best")
     both = base.join(found, base["doc_id"].eqNullSafe(found["d"]) & (base["text_hash"] == found["t"]), "left")

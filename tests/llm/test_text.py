@@ -64,6 +64,14 @@ def test_wrapped_notices(spark):
     assert got == {(1, "isc"): 1, (2, "mit-text"): 1, (3, ""): 1, (4, "isc"): 1, (5, "isc,mit-text"): 2}
 
 
+def test_all_notices_of_a_block(spark):
+    both = "Licensed under CC BY-NC 4.0; code released under MIT license."
+    docs = [(1, both), (2, "released under the MIT license; elsewhere licensed under the GNU Affero General Public License version 3"), (3, "Licensed under CC BY-NC 4.0."), (4, f"{both} Licensed under CC BY-SA 4.0.")]
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[1] == "cc-by,cc-by-nc-4,mit,mit-notice" and got[2] == "agpl-3,mit,mit-notice"
+    assert got[3] == "cc-by,cc-by-nc-4" and got[4] == "cc-by,cc-by-nc-4,cc-by-sa-4,mit,mit-notice"
+
+
 def test_similar_places_equal_brute_force(spark):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(25)]
