@@ -1,14 +1,14 @@
 """Main text of web pages, by site template removal.
 
 Each page is parsed into a tree whose element subtrees are hashed bottom-up (tag, class and id, texts, children).
-Spark counts on how many pages of a host each hash occurs; subtrees that recur on a large share of the host's pages
-are its template and are deleted.  What is left of the article (or else of the main element, the body) is its text,
+Spark counts in how many different articles of a host each hash occurs (pages with the same text are one, so copies of
+a page are no template); subtrees that recur in a large share of them are the host's template and are deleted.  What is left of the article (or else of the main element, the body) is its text,
 without elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form, comments.
 
-The article's own paragraphs are safe: inside it a subtree goes only if it recurs on nearly all pages of a host.
+The article's own paragraphs are safe: inside it a subtree goes only if it recurs in nearly all articles of a host.
 
-Defined cases: null or empty html gives an empty text; a null or odd url is a host of its own (the empty one); pages
-without an article or main element use the body, and without tags the whole text; unclosed elements end with their
+Defined cases: null or empty html gives an empty text; pages with a null or odd url share no host, so nothing recurs;
+pages without an article or main element use the body, and without tags the whole text; unclosed elements end with their
 parents; repeated rows each give a row; extra columns are ignored.
 """
 
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,7 +25,8 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import settle, table
 
-#: A subtree is template if it is on so many pages of a host, and on such a share of them: outside and inside the article.
+#: A subtree is template if it is in so many different articles of a host, and in such a share of them: outside and
+#: inside the article.
 LEAST_PAGES, SHARE = 5, 0.3
 INNER_PAGES, INNER_SHARE = 10, 0.8
 FLUSH = 200_000
@@ -230,29 +230,33 @@ def host(url: Column) -> Column:
 
 
 def template_subtrees(pages: DataFrame) -> DataFrame:
-    """(host, outer, inner): hashes of the subtrees that recur on the pages of each host."""
+    """(host, outer, inner): hashes of the subtrees that recur in the articles of each host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: set[tuple[str, int, int]] = set()
 
         def out() -> pa.RecordBatch:
             keys = list(seen)
-            b = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array(list(seen.values()), pa.int64())], ["host", "hash", "n"])
+            cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2))]
             seen.clear()
-            return b
+            return pa.RecordBatch.from_arrays(cols, ["host", "article", "hash"])
 
         for b in batches:
             for h, page in zip(b["host"].to_pylist(), b["html"], strict=True):
-                seen[h, 0] += 1  # all pages of the host
-                order = elements(parse(page.as_py() or ""))
+                root = parse(page.as_py() or "")
+                order = elements(root)
                 hash_subtrees(order)
-                for x in {node.hash for node in order if node.hash}:
-                    seen[h, x] += 1
+                top, _ = content_root(root)
+                article = xxhash.xxh64_intdigest(text_of(top, frozenset())) - (1 << 63)
+                seen.add((h, article, 0))  # all articles of the host
+                seen.update((h, article, node.hash) for node in order if node.hash)
                 if len(seen) > FLUSH:
                     yield out()
         yield out()
 
-    counts = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
+    hosts = pages.select(host(F.col("url")).alias("host"), "html").where(F.col("host") != "")
+    once = hosts.mapInArrow(run, "host string, article long, hash long").distinct()
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"))
     counts = settle(counts.where(F.col("n") >= LEAST_PAGES))
     totals = counts.where(F.col("hash") == 0).select("host", F.col("n").alias("pages"))
     # A host keeps at most its pages' mean number of elements over SHARE, however many pages it has.
@@ -273,7 +277,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [
-                main_text(p.as_py(), frozenset(o.as_py() or ()), frozenset(i.as_py() or ())) for p, o, i in zip(b["html"], b["outer"], b["inner"], strict=True)
+                main_text(p.as_py(), *(frozenset(x.as_py() or ()) for x in known)) for p, *known in zip(b["html"], b["outer"], b["inner"], strict=True)
             ]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

@@ -186,6 +186,19 @@ def test_article_paragraphs_are_safe(spark):
     assert got[0] == "News The same paragraph on several pages." and got[19] == "Page 19"
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copied_articles_are_kept(spark):
+    same = "<article><h1>News</h1><p>First words.</p><p>Second words.</p></article>"
+    for url in ("http://h/", None):
+        got = extracted(spark, [(i, url and url + str(i), same if i < 18 else f"<article><p>Page {i}</p></article>") for i in range(20)])
+        assert got[0] == got[17] == "News First words. Second words." and got[19] == "Page 19"
+    bare = extracted(spark, [(i, f"http://h/{i}", "<body><p>First words.</p><p>Second words.</p></body>") for i in range(9)])
+    assert set(bare.values()) == {"First words. Second words."}
+
+
 # Language ID.
 
 
