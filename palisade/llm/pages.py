@@ -5,7 +5,8 @@ Spark counts in how many different articles of a host each hash occurs (pages wi
 a page are no template); subtrees that recur in a large share of them are the host's template and are deleted.  What is left of the article (or else of the main element, the body) is its text,
 without elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form, comments.
 
-The article's own paragraphs are safe: inside it a subtree goes only if it recurs in nearly all articles of a host.
+The article's own paragraphs are safe: inside it a subtree goes only if it recurs in nearly all articles of a host, or
+in half of them as one of the first or last blocks, where sites put their notices, adverts and sign-ups.
 
 Defined cases: null or empty html gives an empty text; pages with a null or odd url share no host, so nothing recurs;
 pages without an article or main element use the body, and without tags the whole text; unclosed elements end with their
@@ -25,10 +26,11 @@ from pyspark.sql import functions as F
 
 from palisade.llm.common import settle, table
 
-#: A subtree is template if it is in so many different articles of a host, and in such a share of them: outside and
-#: inside the article.
+#: A subtree is template if it is in so many different articles of a host, and in such a share of them: outside the article,
+#: inside it, and as one of the EDGE first or last blocks inside it.
 LEAST_PAGES, SHARE = 5, 0.3
 INNER_PAGES, INNER_SHARE = 10, 0.8
+EDGE_PAGES, EDGE_SHARE, EDGE = 3, 0.5, 2
 FLUSH = 200_000
 #: Template hashes (8 bytes each) of all hosts that may be broadcast.
 BROADCAST_HASHES = 1_000_000
@@ -196,7 +198,21 @@ def content_root(root: Node) -> tuple[Node, bool]:
     return (mains[0], True) if mains else (root, False)
 
 
-def text_of(top: Node, template: frozenset[int]) -> str:
+def edges(top: Node) -> list[Node]:
+    """The first and last blocks of an article, its title aside; a single block around all others is looked into."""
+    while True:
+        blocks = [c for c in top.children if type(c) is Node and c.hash and c.tag not in INLINE and not is_boilerplate(c)]
+        if len(blocks) != 1 or any(type(c) is str and not c.isspace() for c in top.children):
+            break
+        top = blocks[0]
+    blocks = [c for c in blocks if c.tag != "h1"]
+    if len(blocks) < 2:  # the article itself
+        return []
+    return blocks[:EDGE] + blocks[max(EDGE, len(blocks) - EDGE) :]
+
+
+def text_of(top: Node, template: frozenset[int], ends: frozenset[int] = frozenset()) -> str:
+    at_edge = {id(x) for x in edges(top) if x.hash in ends} if ends else ()
     parts: list[str] = []
     stack: list = [top]
     while stack:
@@ -204,7 +220,7 @@ def text_of(top: Node, template: frozenset[int]) -> str:
         if type(x) is str:
             parts.append(x)
             continue
-        if x is not top and (is_boilerplate(x) or (x.hash in template and x.hash)):
+        if x is not top and (is_boilerplate(x) or (x.hash in template and x.hash) or id(x) in at_edge):
             parts.append(" ")
             continue
         block = x.tag not in INLINE
@@ -215,14 +231,14 @@ def text_of(top: Node, template: frozenset[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def main_text(page: str | None, outer: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset()) -> str:
+def main_text(page: str | None, outer: frozenset[int] = frozenset(), inner: frozenset[int] = frozenset(), ends: frozenset[int] = frozenset()) -> str:
     if not page:
         return ""
     root = parse(page)
     top, found = content_root(root)
-    if outer or inner:
+    if outer or inner or ends:
         hash_subtrees(elements(root))
-    return text_of(top, inner if found else outer)
+    return text_of(top, inner, ends) if found else text_of(top, outer)
 
 
 def host(url: Column) -> Column:
@@ -230,54 +246,59 @@ def host(url: Column) -> Column:
 
 
 def template_subtrees(pages: DataFrame) -> DataFrame:
-    """(host, outer, inner): hashes of the subtrees that recur in the articles of each host."""
+    """(host, outer, inner, ends): hashes of the subtrees that recur in the articles of each host."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, int, int]] = set()
+        seen: dict[tuple[str, int, int], bool] = {}
 
         def out() -> pa.RecordBatch:
             keys = list(seen)
-            cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2))]
+            cols = [pa.array([k[0] for k in keys], pa.string()), *(pa.array([k[i] for k in keys], pa.int64()) for i in (1, 2)), pa.array(list(seen.values()), pa.bool_())]
             seen.clear()
-            return pa.RecordBatch.from_arrays(cols, ["host", "article", "hash"])
+            return pa.RecordBatch.from_arrays(cols, ["host", "article", "hash", "edge"])
 
         for b in batches:
             for h, page in zip(b["host"].to_pylist(), b["html"], strict=True):
                 root = parse(page.as_py() or "")
                 order = elements(root)
                 hash_subtrees(order)
-                top, _ = content_root(root)
+                top, found = content_root(root)
                 article = xxhash.xxh64_intdigest(text_of(top, frozenset())) - (1 << 63)
-                seen.add((h, article, 0))  # all articles of the host
-                seen.update((h, article, node.hash) for node in order if node.hash)
+                at_edge = {x.hash for x in edges(top)} if found else ()
+                seen[h, article, 0] = False  # all articles of the host
+                for x in {node.hash for node in order if node.hash}:
+                    seen[h, article, x] = seen.get((h, article, x), False) or x in at_edge
                 if len(seen) > FLUSH:
                     yield out()
         yield out()
 
     hosts = pages.select(host(F.col("url")).alias("host"), "html").where(F.col("host") != "")
-    once = hosts.mapInArrow(run, "host string, article long, hash long").distinct()
-    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"))
-    counts = settle(counts.where(F.col("n") >= LEAST_PAGES))
+    once = hosts.mapInArrow(run, "host string, article long, hash long, edge boolean").groupBy("host", "article", "hash").agg(F.max("edge").alias("edge"))
+    counts = once.groupBy("host", "hash").agg(F.count("*").alias("n"), F.sum(F.col("edge").cast("long")).alias("at_edge"))
+    counts = settle(counts.where(F.col("n") >= min(LEAST_PAGES, EDGE_PAGES)))
     totals = counts.where(F.col("hash") == 0).select("host", F.col("n").alias("pages"))
     # A host keeps at most its pages' mean number of elements over SHARE, however many pages it has.
-    often = counts.where(F.col("hash") != 0).join(totals, "host").where(F.col("n") >= SHARE * F.col("pages"))
-    inner = F.when((F.col("n") >= INNER_PAGES) & (F.col("n") >= INNER_SHARE * F.col("pages")), F.col("hash"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("outer"), F.collect_list(inner).alias("inner"))
+    often = counts.where(F.col("hash") != 0).join(totals, "host").where(F.col("n") >= min(SHARE, EDGE_SHARE) * F.col("pages"))
+
+    def taken(n: str, least: int, share: float) -> Column:
+        return F.collect_list(F.when((F.col(n) >= least) & (F.col(n) >= share * F.col("pages")), F.col("hash")))
+
+    return often.groupBy("host").agg(taken("n", LEAST_PAGES, SHARE).alias("outer"), taken("n", INNER_PAGES, INNER_SHARE).alias("inner"), taken("at_edge", EDGE_PAGES, EDGE_SHARE).alias("ends"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
     known = settle(template_subtrees(pages))
-    held = known.agg(F.sum(F.size("outer") + F.size("inner") + 8)).first()[0] or 0
+    held = known.agg(F.sum(F.size("outer") + F.size("inner") + F.size("ends") + 8)).first()[0] or 0
     # A small table goes to the pages, which then need no shuffle; a large one meets them by host, hot hosts split by AQE.
     known = F.broadcast(known) if held <= BROADCAST_HASHES else known
-    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "outer", "inner")
+    rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "outer", "inner", "ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [
-                main_text(p.as_py(), *(frozenset(x.as_py() or ()) for x in known)) for p, *known in zip(b["html"], b["outer"], b["inner"], strict=True)
+                main_text(p.as_py(), *(frozenset(x.as_py() or ()) for x in known)) for p, *known in zip(b["html"], b["outer"], b["inner"], b["ends"], strict=True)
             ]
             yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 

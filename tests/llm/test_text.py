@@ -190,6 +190,13 @@ def extracted(spark, rows):
     return {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_repeated_notice_in_articles(spark):
+    page = lambda i: f"<article><h1>News</h1><p>Story {i}.</p><p>More of {i}.</p><p>Said in all.</p><p>And {i}.</p><p>End of {i}.</p><div>Support us with a gift.</div></article>"
+    got = extracted(spark, [(i, f"http://h/{i}", page(i)) for i in range(4)] + [(9, "http://other/", page(9))])
+    assert all(got[i] == f"News Story {i}. More of {i}. Said in all. And {i}. End of {i}." for i in range(4))
+    assert got[9].endswith("Support us with a gift.")
+
+
 def test_copied_articles_are_kept(spark):
     same = "<article><h1>News</h1><p>First words.</p><p>Second words.</p></article>"
     for url in ("http://h/", None):
