@@ -16,6 +16,8 @@ its own row; repeated rows each give a row; extra columns are ignored; an empty
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,8 +46,8 @@ TEMPLATES = {
 }
 THRESHOLD = 0.8
 MAX_TEMPLATES = 2_000
-#: So many prefix words are looked for as plain parts of a text before it is split into words.
-MAX_PARTS = 100
+#: So many words of templates are looked for as plain parts of a text before it is split into words.
+MAX_PARTS = 250
 
 
 def words(lowered: Column) -> Column:
@@ -113,6 +115,12 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     return hits.select("doc_id", "text_hash", "block", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
+def _parts(ws: list[str], prefix: list[str], threshold: float) -> Column:
+    """Whether ``low`` has a word of the template's prefix, and as many of its words as a match needs, as plain parts."""
+    has = lambda w: F.contains("low", F.lit(w))
+    return reduce(or_, map(has, prefix)) & (reduce(add, (has(w).cast("int") for w in ws)) >= _need(len(ws), threshold))
+
+
 def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, label, places): where a line, or a window of the template's length, meets a template.
 
@@ -127,12 +135,8 @@ def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, thr
     low = docs.select("doc_id", text_hash().alias("text_hash"), _once(ascii_lower(F.coalesce("text", F.lit("")))).alias("low"))
     held = _once(F.array_intersect(words(F.col("low")), vocabulary)).alias("ws")
     order, prefixes = _ranked(low.select(held), named, threshold)
-    parts = sorted({p[0] for p in prefixes})
-    if 0 < len(parts) <= MAX_PARTS:  # a text without any of them meets no template
-        some = F.lit(False)
-        for w in parts:
-            some = some | F.contains("low", F.lit(w))
-        low = low.where(some)
+    if 0 < sum(map(len, named.values())) <= MAX_PARTS:  # a text without ``need`` of a template's words as parts does not meet it
+        low = low.where(reduce(or_, (_parts(ws, [p[0] for p in prefixes if p[1] == label], threshold) for label, ws in named.items())))
     lengths = F.create_map(*(F.lit(x) for label in named for x in (label, len(re.findall(WORDS, templates[label].lower()))))) if named else F.create_map().cast("map<string,int>")
     hits = _met(low.select("*", held), order, prefixes).select("doc_id", "text_hash", "low", "label", "tws", "size", "need", lengths[F.col("label")].alias("span"))
     tokens = F.flatten(F.transform(F.split("low", "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(i.alias("block"), w.alias("w")))))
