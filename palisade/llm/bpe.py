@@ -18,20 +18,25 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import partitions, table
-from palisade.llm.wordtable import HEAD_WORDS, head_dict, head_of, keyed, word_counts
+from palisade.llm.common import table
+from palisade.llm.wordtable import BLOCK, binary_of, bytes_of, ends_of, with_values
 
 #: Characters for which str.lower(), NFC and the classes below equal the library's.
 PLAIN = re.compile("[\x00-įı-ɏ]*")
 FILE = "word_bpe_49k.json"
+#: Parts of words whose ids a worker remembers.
+PARTS = 100_000
+#: Texts decoded at once.
+ROWS = 1_000
 
 
 class Words:
@@ -68,7 +73,8 @@ class Words:
     def encode(self, word: str) -> list[int]:
         if word[0] == " ":
             return [self.special[word[1:]]]
-        return [t.id for w, _ in self.bytes.pre_tokenize_str(word) for t in self.tokenizer.model.tokenize(w)]
+        parts = [word] if word.isascii() and word.isprintable() else [w for w, _ in self.bytes.pre_tokenize_str(word)]
+        return [t.id for w in parts for t in self.tokenizer.model.tokenize(w)]
 
 
 def read_tokenizer(path: str | None = None) -> str:
@@ -88,100 +94,52 @@ def pieces_of(content: str) -> list[str | None]:
 
 
 def _unit(content: str) -> str:
-    """Two bytes an id where the vocabulary leaves room for the mark of a hole, else four."""
-    return "<u2" if len(pieces_of(content)) < 0xFFFF else "<u4"
+    """Two bytes an id where they are enough, else four."""
+    return "<u2" if len(pieces_of(content)) <= 1 << 16 else "<u4"
 
 
-def encode(docs: DataFrame, content: str, head_words: int = HEAD_WORDS) -> DataFrame:
+def encode(docs: DataFrame, content: str, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_tokens, ids) for each row of ``docs``; ids: binary, little-endian unsigned 32-bit."""
+    return _encoded(docs, content, block, lambda: lambda t: t, "n_tokens long, ids binary")
+
+
+def _encoded(docs: DataFrame, content: str, block: int, make_last: Callable[[], Callable[[pa.Table], pa.Table]], schema: str) -> DataFrame:
+    """What the function that ``make_last`` gives makes of (doc_id, n_tokens, ids), in the worker that has them."""
     unit, tokenizer = _unit(content), docs.sparkSession.sparkContext.broadcast(content)
-    hole = np.array([-1]).astype(unit).tobytes()
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_word = Words(tokenizer.value).encode
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["word"], pa.array([np.array(encode_word(w), unit).tobytes() for w in b["word"].to_pylist()], pa.binary())], ["word", "ids"])
+    def make_value() -> Callable[[list[str]], list[bytes]]:
+        words, known = Words(tokenizer.value), {}
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, get, zip_ = Words(tokenizer.value).split, head_dict(head).get, pa.Codec("zstd", compression_level=3)
-        for b in batches:
-            sizes, ids = [], []
-            for t in b["text"]:
-                raw = b"".join([get(w, hole) for w in split(t.as_py())])
-                sizes.append(len(raw))
-                ids.append(zip_.compress(raw, asbytes=True))
-            front = pa.array(np.full(b.num_rows, -1), pa.int32())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], front, pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())], names)
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, have = Words(tokenizer.value).split, head_dict(head)
-        for b in batches:
-            of, pos, rest = [], [], []
-            for k, t in enumerate(b["text"]):
-                new = [w for w in split(t.as_py()) if w not in have]
-                of += [k] * len(new)
-                pos += range(len(new))
-                rest += new
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(of), b["h"].take(of), pa.array(pos, pa.int32()), pa.array(rest, pa.string())], ["doc_id", "h", "pos", "word"])
-
-    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_word, last, ids = Words(tokenizer.value).encode, None, b""
-        for b in batches:  # sorted by word
+        def ids(word: str) -> bytes:
             out = []
-            for w in b["word"].to_pylist():
-                if w != last:
-                    last, ids = w, np.array(encode_word(w), unit).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], b["pos"], pa.array(map(len, out), pa.int64()), pa.array(out, pa.binary())], names)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by document and position: first its own, with holes, then what goes into them."""
-        zip_, at, whole, pieces, ids, texts = pa.Codec("zstd"), None, [], [], [], []
-
-        def placed() -> None:
-            for size, data in whole:
-                a = np.frombuffer(zip_.decompress(data, size, asbytes=True) if size else b"", unit)
-                if pieces:
-                    holes = np.flatnonzero(a == np.array(-1).astype(unit))
-                    new = [np.frombuffer(x, unit) for _, x in pieces]
-                    a = np.insert(np.delete(a, holes), np.repeat(holes - np.arange(len(holes)), [len(x) for x in new]), np.concatenate(new))
-                ids.append(at[0])
-                texts.append(a.astype("<u4").tobytes())
-            whole.clear()
-            pieces.clear()
-
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(ids, arrow_kind), pa.array([len(x) // 4 for x in texts], pa.int64()), pa.array(texts, pa.binary())], ["doc_id", "n_tokens", "ids"])
-            ids.clear()
-            texts.clear()
-            return b
-
-        arrow_kind = None
-        for b in batches:
-            arrow_kind = b["doc_id"].type
-            for doc, h, pos, size, data in zip(*(b[c].to_pylist() for c in names), strict=True):
-                if at is None or (doc, h) != at:
-                    placed()
-                    at = (doc, h)
-                    if len(texts) >= 1000:
-                        yield out()
-                if pos < 0:
-                    whole.append((size, data))
-                elif not pieces or pieces[-1][0] != pos:  # rows that repeat doc_id and text bring the same pieces
-                    pieces.append((pos, data))
-        placed()
-        if texts:
-            yield out()
-
-    names = ["doc_id", "h", "pos", "size", "ids"]
-    kind, rows, n = docs.schema["doc_id"].dataType.simpleString(), keyed(docs), partitions(docs.sparkSession)
-    schema = f"doc_id {kind}, h int, pos int, size long, ids binary"
-    head = head_of(word_counts(docs, lambda: Words(tokenizer.value).split), once, "word string, ids binary", head_words)
-    front = rows.mapInArrow(known, schema)
-    tail = rows.mapInArrow(others, f"doc_id {kind}, h int, pos int, word string").repartition(n, "word").sortWithinPartitions("word").mapInArrow(encoded, schema)
-    both = front.unionByName(tail).repartition(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "pos")
-    return both.mapInArrow(fill, f"doc_id {kind}, n_tokens long, ids binary")
+            for part in words.split(word):
+                if (found := known.get(part)) is None:
+                    if len(known) >= PARTS:
+                        known.clear()
+                    found = known[part] = words.encode(part)
+                out += found
+            return np.array(out, unit).tobytes()
+
+        return lambda kinds: list(map(ids, kinds))
+
+    def finish(ids: pa.Array, ends: np.ndarray, found: pa.BinaryArray) -> pa.Table:
+        at, width = ends_of(found), np.dtype(unit).itemsize
+        raw = bytes_of(found).view(unit).astype("<u4")
+        at = np.concatenate([[0], (at - at[0])[ends] // width])
+        if 4 * len(raw) < 1 << 31:
+            texts = binary_of(4 * np.diff(at), raw.tobytes(), pa.binary())
+        else:
+            texts = pa.array([raw[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        return make_last()(pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(at), pa.int64()), "ids": texts}))
+
+    return with_values(docs, make_value, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}", separators=False, block=block)
+
+
+def texts_of(ids: pa.BinaryArray, pieces: pa.StringArray) -> pa.StringArray:
+    """The decoded text of each row of ids."""
+    at = ends_of(ids)
+    flat = bytes_of(ids).view("<u4").astype(np.int64)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array((at - at[0]) // 4, pa.int32()), pieces.take(pa.array(flat))), " ")
 
 
 def decode(encoded: DataFrame, content: str) -> DataFrame:
@@ -190,30 +148,31 @@ def decode(encoded: DataFrame, content: str) -> DataFrame:
     names = encoded.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece = shared.value.__getitem__
+        pieces = pa.array(shared.value, pa.string())
         for b in batches:
-            texts = [" ".join(map(piece, np.frombuffer(i.as_py(), "<u4").tolist())) for i in b["ids"]]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*b.columns, texts_of(b["ids"], pieces)], [*names, "decoded"])
 
     return encoded.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), "decoded string"]))
 
 
-def digests(encoded: DataFrame, content: str, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted; decoded texts stay in the worker."""
-    shared = encoded.sparkSession.sparkContext.broadcast(pieces_of(content))
+def digests(docs: DataFrame, content: str, keep_ids: bool = False, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted, for each row of ``docs``; decoded texts stay in the worker."""
+    shared = docs.sparkSession.sparkContext.broadcast(pieces_of(content))
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, sha = shared.value.__getitem__, lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
-            ids = [i.as_py() for i in b["ids"]]
-            texts = [" ".join(map(piece, np.frombuffer(i, "<u4").tolist())).encode() for i in ids]
-            cols = [b["doc_id"], b["n_tokens"], pa.array(map(sha, ids), pa.string()), pa.array(map(sha, texts), pa.string()), b["ids"]]
-            yield pa.RecordBatch.from_arrays(cols[: 4 + keep_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + keep_ids])
+    def make_last() -> Callable[[pa.Table], pa.Table]:
+        pieces, sha = pa.array(shared.value, pa.string()), lambda a: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in a], pa.string())
+
+        def last(t: pa.Table) -> pa.Table:
+            ids, sums = t["ids"].combine_chunks(), [pa.array([], pa.string())]
+            for at in range(0, len(ids), ROWS):
+                sums.append(sha(texts_of(ids.slice(at, ROWS), pieces)))
+            return pa.table([t["doc_id"], t["n_tokens"], sha(ids), pa.concat_arrays(sums), ids][: 4 + keep_ids], names)
+
+        return last
 
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return _encoded(docs, content, block, make_last, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    content = read_tokenizer(path)
-    return digests(encode(table(spark, sf_dir, "documents"), content), content)
+    return digests(table(spark, sf_dir, "documents"), read_tokenizer(path))

@@ -17,6 +17,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(df: DataFrame, each: int) -> int:
+    """So many buckets that each takes about ``each`` bytes of what ``df`` reads, as the optimizer knows it; one for each partition at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = size < 1 << 60  # else a frame of unknown size
+    return max(partitions(df.sparkSession), -(-size // each) if known else 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only where none is named and Spark runs in one process."""
     sc = spark.sparkContext
@@ -36,8 +43,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def text_hash(text: Column | str = "text") -> Column:
-    """Tells apart rows that repeat a doc_id; used only together with doc_id, so chance collisions cannot meet."""
-    return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    """128 bits that tell apart rows which repeat a doc_id, or have none."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,12 +1,11 @@
 """Token counts under a unigram vocabulary, by forward scores shared in a trie of distinct pre-tokens.
 
-Distinct pre-tokens (white-space separated words, marked at their start) are partitioned and sorted.  Walking them in order is a depth-first walk of their trie: the forward scores along the current path stay on a stack, so the
-best score of a prefix is computed once for all pre-tokens that share it, and each terminal stores its token count.
-Scores are those of a Zipf law over the vocabulary's ranks, as integers; of equal scores the fewer tokens win.
-Characters that no piece spells cost one token a UTF-8 byte.
-
-Counts come back to documents from a broadcast table for a fixed number of frequent pre-tokens; the occurrences of all
-others are shuffled together by the pre-token and summed by document.
+Distinct pre-tokens (white-space separated words, marked at their start) are gathered in buckets and sorted
+(``wordtable``).  Walking them in order is a depth-first walk of their trie: the forward scores along the current path
+stay on a stack, so the best score of a prefix is computed once for all pre-tokens that share it, and each terminal
+stores its token count.  Scores are those of a Zipf law over the vocabulary's ranks, as integers; of equal scores the
+fewer tokens win.  Characters that no piece spells cost one token a UTF-8 byte.  Counts come back to the pre-tokens'
+places and are summed by text.
 
 Defined cases: null, empty and blank texts count 0; rows that repeat each give a row; null doc_ids are kept; words of
 any length count whole; extra columns are ignored.
@@ -15,16 +14,14 @@ any length count whole; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palisade.llm.common import partitions, table
-from palisade.llm.wordtable import HEAD_WORDS, head_dict, head_of, keyed, word_counts
+from palisade.llm.common import table
+from palisade.llm.wordtable import BLOCK, bytes_of, with_values
 
 MARK = "▁"
 FILE = "piece_bpe_32k.model"
@@ -80,57 +77,20 @@ class Trie:
         return -best[-1][1]
 
 
-def token_counts(docs: DataFrame, pieces: list[str], head_words: int = HEAD_WORDS) -> DataFrame:
+def token_counts(docs: DataFrame, pieces: list[str], block: int = BLOCK) -> DataFrame:
     """(doc_id, n_pretokens, n_tokens) for each row of ``docs``."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(zipf(pieces))
-    kind, rows, n = docs.schema["doc_id"].dataType.simpleString(), keyed(docs), partitions(docs.sparkSession)
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make_value() -> Callable[[list[str]], list[bytes]]:
         trie = Trie(*vocabulary.value)
-        words = sorted(w for b in batches for w in b["word"].to_pylist())  # at most head_words
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([trie.count(MARK + w) for w in words], pa.int64())], ["word", "tokens"])
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = head_dict(head).get
-        for b in batches:
-            split = [t.as_py().split() for t in b["text"]]
-            sums = [sum([get(w, 0) for w in ws]) for ws in split]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(map(len, split), pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "h", "n_pretokens", "front"])
-
-    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = head_dict(head)
-        for b in batches:
-            of, rest, times = [], [], []
-            for k, t in enumerate(b["text"]):
-                c = Counter(w for w in t.as_py().split() if w not in have)
-                of += [k] * len(c)
-                rest += c.keys()
-                times += c.values()
-            of = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(of), b["h"].take(of), pa.array(rest, pa.string()), pa.array(times, pa.int64())], ["doc_id", "h", "word", "times"])
-
-    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last, tokens, row = Trie(*vocabulary.value), None, 0, None
-        for b in batches:  # sorted by word, then row
-            keep, out = [], []
-            for key in zip(b["word"].to_pylist(), b["doc_id"].to_pylist(), b["h"].to_pylist(), strict=True):
-                if key[0] != last:
-                    last, tokens = key[0], trie.count(MARK + key[0])
-                keep.append(key != row)  # rows that repeat doc_id and text come once
-                row = key
-                out.append(tokens)
-            added = pa.compute.multiply(pa.array(out, pa.int64()), b["times"])
-            yield pa.RecordBatch.from_arrays(pa.RecordBatch.from_arrays([b["doc_id"], b["h"], added], ["doc_id", "h", "v"]).filter(pa.array(keep, pa.bool_())).columns, ["doc_id", "h", "v"])
-
-    head = head_of(word_counts(docs, lambda: str.split), once, "word string, tokens long", head_words)
-    front = rows.mapInArrow(known, f"doc_id {kind}, h int, n_pretokens long, front long")
-    tail = (
-        rows.mapInArrow(others, f"doc_id {kind}, h int, word string, times long")
-        .repartition(n, "word").sortWithinPartitions("word", "doc_id", "h").mapInArrow(walked, f"doc_id {kind}, h int, v long")
-    )
-    sums = tail.groupBy("doc_id", "h").agg(F.sum("v").alias("rest")).select(F.col("doc_id").alias("d"), F.col("h").alias("t"), "rest")
-    joined = front.join(sums, front["doc_id"].eqNullSafe(sums["d"]) & (front["h"] == sums["t"]), "left")
-    return joined.select("doc_id", "n_pretokens", (F.col("front") + F.coalesce("rest", F.lit(0))).alias("n_tokens"))
+        return lambda words: [trie.count(MARK + w).to_bytes(8, "little") for w in words]  # sorted: a walk of their trie
+
+    def finish(ids: pa.Array, ends: np.ndarray, found: pa.BinaryArray) -> pa.Table:
+        sums = np.concatenate([[0], np.cumsum(bytes_of(found).view("<i8"))])
+        at = np.concatenate([[0], ends])
+        return pa.table({"doc_id": ids, "n_pretokens": pa.array(np.diff(at), pa.int64()), "n_tokens": pa.array(np.diff(sums[at]), pa.int64())})
+
+    return with_values(docs, make_value, finish, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pretokens long, n_tokens long", separators=True, block=block)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

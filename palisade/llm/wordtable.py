@@ -1,70 +1,206 @@
-"""Distinct words of a corpus, and the split of work between frequent and other words.
+"""A table of distinct words: each word of a corpus gets its value once, and values meet the words' places.
 
-A bounded number of the most frequent words (``HEAD_WORDS``) goes to every worker with its value.  All occurrences of
-any other word are shuffled together by the word, which gets its value once there.  The bound holds at any corpus
-size, and what lies beyond it is handled exactly.
+Texts are split at white space and coded in blocks of about ``BLOCK`` bytes: a block is one row that holds, for each
+place of its texts, the number of the word in the block's own list of distinct words.  The lists are shuffled by the
+words' hashes; there each distinct word of the corpus is given its value, and the values go back to the blocks, where
+they meet the places.  A text is split once, and never leaves its block's row: only numbers do.
+
+Blocks are named by partition and number within it, so a task that runs again after a lost executor makes the same
+blocks, provided that it reads its rows in the same order again: read tables, or settled ones, not shuffled frames.
+What a worker holds is a block, or a bucket of words; buckets follow the size of the input (``common.buckets``).  The
+most frequent word is in each list once, so no bucket is much larger than another.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HEAD_WORDS = 300_000
-#: Distinct words that a worker counts before it hands them on.
-FLUSH = 200_000
+from palisade.llm.common import buckets, partitions
+from palisade.llm.dartminhash import mix
 
-Splitter = Callable[[str], list[str]]
+#: Bytes of text in a block at most; a longer text is a block of its own.  A batch of rows is one block or more.
+BLOCK = 32 << 20
+#: Bytes of input whose words share a bucket.
+BUCKET = 4 << 20
+_BASE = 0x100000001B3
+#: White space as regular expressions of tokenizers take it: without the four separators U+001C to U+001F.
+SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+SEPARATORS = r"[\x1c-\x1f]"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """h tells apart rows that repeat a doc_id."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.hash(text).alias("h"), text.alias("text"))
+def split(texts: pa.Array, separators: bool) -> pa.ListArray:
+    """Words between white space; empty strings may stand at the ends.  separators: whether U+001C to U+001F separate."""
+    if separators or not pc.any(pc.match_substring_regex(texts, SEPARATORS)).as_py():
+        return pc.utf8_split_whitespace(texts)
+    return pa.array([SPACES.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def word_counts(docs: DataFrame, make_splitter: Callable[[], Splitter]) -> DataFrame:
-    """(word, n): counts over the whole texts of all rows, for ranking frequent words.
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A hash of the bytes of each word."""
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(words), 50_000):
+        part = words.slice(at, 50_000)
+        data, ends = bytes_of(part), ends_of(part) - ends_of(part)[0]
+        power = np.cumprod(np.full(len(data), _BASE, np.uint64))
+        back = np.cumprod(np.full(len(data) + 1, pow(_BASE, -1, 2**64), np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power)])
+        out.append(mix((sums[ends[1:]] - sums[ends[:-1]]) * back[ends[:-1]]))
+    return np.concatenate(out)
+
+
+def ends_of(a: pa.Array) -> np.ndarray:
+    """Ends of the values of a string or binary array in its bytes, a start before them."""
+    return np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int32)
+
+
+def bytes_of(a: pa.Array) -> np.ndarray:
+    if not len(a):
+        return np.zeros(0, np.uint8)
+    ends = ends_of(a)
+    return np.frombuffer(a.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+
+
+def binary_of(sizes: np.ndarray, data: bytes, kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(kind, len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _packed(zip_: pa.Codec, numbers: np.ndarray, sizes: np.ndarray, data: np.ndarray) -> tuple[int, int, bytes]:
+    raw = numbers.astype("<u4").tobytes() + sizes.astype("<u4").tobytes() + data.tobytes()
+    return len(numbers), len(raw), zip_.compress(raw, asbytes=True)
 
-    A worker hands on the words that it met more than once since it last did; ``n`` is thus exact for any word that is
-    frequent everywhere, and a word that is never met twice in one place is no frequent word.  ``make_splitter`` is
-    called once in each worker.
-    """
+
+def _unpacked(zip_: pa.Codec, n: int, size: int, data: pa.Scalar) -> tuple[np.ndarray, np.ndarray, bytes]:
+    raw = zip_.decompress(data.as_buffer(), size, asbytes=True)
+    return np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u4", n, 4 * n), raw[8 * n :]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Even parts of each batch, of about ``most`` bytes of text or one row."""
+    for b in batches:
+        sizes = np.cumsum(pc.binary_length(b["text"]).to_numpy().astype(np.int64))
+        parts = max(1, -(-int(sizes[-1]) // most)) if len(sizes) else 0
+        cuts = np.unique(np.searchsorted(sizes, sizes[-1] / parts * np.arange(1, parts), side="right")).tolist() if parts > 1 else []
+        cuts = [0, *(c for c in cuts if 0 < c < b.num_rows), b.num_rows]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if z > a:
+                yield b["doc_id"].slice(a, z - a), b["text"].slice(a, z - a)
+
+
+def _cut(count: int, separators: bool, most: int) -> Callable:
+    names = ["key", "block", "ids", "ends", "n", "size", "data"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, c = make_splitter(), Counter()
+        context, zip_ = TaskContext.get(), pa.Codec("zstd", compression_level=3)
+        first = context.partitionId() << 32 if context else 0
+        for block, (ids, texts) in enumerate(_blocks(batches, most), first):
+            words = split(texts, separators)
+            coded = words.flatten().dictionary_encode()
+            del texts
+            codes, ends, kinds = coded.indices.to_numpy(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py(), coded.dictionary
+            empty = kinds.index("").as_py() if len(kinds) else -1
+            if empty >= 0:
+                keep = codes != empty
+                ends, codes = np.concatenate([[0], np.cumsum(keep)])[ends], codes[keep]
+            planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+            rows = [(-1 - block, len(codes), len(planes), zip_.compress(planes, asbytes=True) if planes else b"")]
+            del words, coded, planes
+            of = (word_hashes(kinds) % np.uint64(count)).astype(np.int64)
+            by = np.argsort(of, kind="stable")
+            kinds, of = kinds.take(pa.array(by)), of[by]
+            at, data = ends_of(kinds), bytes_of(kinds)
+            starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False):
+                rows.append((int(of[a]), *_packed(zip_, by[a:z], np.diff(at[a : z + 1]), data[at[a] - at[0] : at[z] - at[0]])))
+            rest = len(rows) - 1
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * (rest + 1), pa.int32()), ids), pa.array([ends.tolist()] + [None] * rest, pa.list_(pa.int64())),
+                pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.binary()),
+            ], names)
+
+    return run
+
+
+def _valued(make_value: Callable[[], Callable[[list[str]], list[bytes]]]) -> Callable:
+    names = ["key", "n", "size", "data"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_, value, held, at = pa.Codec("zstd", compression_level=3), make_value(), [], None
 
         def out() -> pa.RecordBatch:
-            many = [(w, n) for w, n in c.items() if n > 1]
-            c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in many], pa.string()), pa.array([n for _, n in many], pa.int64())], ["word", "n"])
-
-        for b in batches:
-            for t in b["text"]:
-                c.update(split(t.as_py()))
-                if len(c) > FLUSH:
+            packs = [_unpacked(zip_, *p[1:]) for p in held]
+            words = binary_of(np.concatenate([p[1] for p in packs]), b"".join(p[2] for p in packs), pa.string()).dictionary_encode()
+            kinds = words.dictionary.to_pylist()
+            by = sorted(range(len(kinds)), key=kinds.__getitem__)
+            found = [b""] * len(kinds)
+            for i, v in zip(by, value([kinds[i] for i in by]), strict=True):
+                found[i] = v
+            found, done, rows = pa.array(found, pa.binary()), 0, []
+            for (block, *_), (numbers, *_) in zip(held, packs, strict=True):
+                mine = found.take(words.indices.slice(done, len(numbers)))
+                done += len(numbers)
+                rows.append((-1 - block, *_packed(zip_, numbers, np.diff(ends_of(mine)), bytes_of(mine))))
+            held.clear()
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
+
+        for b in batches:  # sorted by key
+            for key, block, n, size, data in zip(b["key"].to_pylist(), b["block"].to_pylist(), b["n"].to_pylist(), b["size"].to_pylist(), b["data"], strict=True):
+                if key < 0:
+                    continue
+                if key != at and held:
                     yield out()
-        yield out()
+                at = key
+                held.append((block, n, size, data))
+        if held:
+            yield out()
 
-    return keyed(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return run
 
 
-def head_of(words: DataFrame, value: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, most: int = HEAD_WORDS) -> Broadcast:
-    """The ``most`` most frequent words with their values, made by ``value`` on an executor, as a broadcast Arrow table of two columns."""
-    top = words.orderBy(F.desc("n"), "word").limit(most).select("word").mapInArrow(value, schema)
-    sink = pa.BufferOutputStream()
-    table = top.toArrow()
-    with pa.ipc.new_stream(sink, table.schema) as w:
-        w.write_table(table)
-    return words.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+def with_values(
+    docs: DataFrame, make_value: Callable[[], Callable[[list[str]], list[bytes]]], finish: Callable[[pa.Array, np.ndarray, pa.BinaryArray], pa.Table], schema: str, separators: bool, block: int = BLOCK
+) -> DataFrame:
+    """What ``finish(ids, ends, values)`` makes of each block: its doc_ids, the ends of their texts among the words, and each word's value.
 
-
-def head_dict(shared: Broadcast) -> dict:
-    with pa.ipc.open_stream(shared.value) as r:
-        t = r.read_all()
-    return dict(zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True))
+    make_value is called once in each worker and gives a function from distinct words, sorted, to their values in
+    bytes.  A null text is empty.
+    """
+    n, kind = partitions(docs.sparkSession), docs.schema["doc_id"].dataType.simpleString()
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or left["key"][0].as_py() >= 0:  # a bucket of words, which only the other branch reads
+            return empty()
+        zip_, row = pa.Codec("zstd"), left.slice(0, 1).to_batches()[0]
+        ends, count = row["ends"][0].values.to_numpy(zero_copy_only=False), row["n"][0].as_py()
+        planes = zip_.decompress(row["data"][0].as_buffer(), row["size"][0].as_py(), asbytes=True) if count else b""
+        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        packs = [_unpacked(zip_, *p) for p in zip(right["n"].to_pylist(), right["size"].to_pylist(), right["data"], strict=True)]
+        if packs:
+            found = binary_of(np.concatenate([p[1] for p in packs]), b"".join(p[2] for p in packs), pa.binary())
+            by = np.argsort(np.concatenate([p[0] for p in packs]))
+            found = found.take(pa.array(by)).take(pa.array(codes))
+        else:
+            found = pa.array([], pa.binary())
+        return finish(row["ids"][0].values, ends, found)
+
+    def empty() -> pa.Table:
+        return finish(pa.array([], arrow_kind), np.zeros(0, np.int64), pa.array([], pa.binary()))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow_kind = to_arrow_type(docs.schema["doc_id"].dataType)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = texts.mapInArrow(_cut(buckets(docs, BUCKET), separators, block), f"key long, block long, ids array<{kind}>, ends array<long>, n int, size long, data binary")
+    cut = cut.repartition(n, "key")  # one exchange serves both branches
+    values = cut.sortWithinPartitions("key").mapInArrow(_valued(make_value), "key long, n int, size long, data binary").repartition(n, "key")
+    return cut.groupBy("key").cogroup(values.groupBy("key")).applyInArrow(met, schema)

@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from tokenizers import Tokenizer
 
-from palisade.llm import bpe, decontaminate, langid, licenses, media, pages, tokencounts
+from palisade.llm import bpe, decontaminate, langid, licenses, media, pages, tokencounts, wordtable
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -243,25 +243,38 @@ def odd_texts():
     return ["", " ", "It's  <|endoftext|>Hello\x00\x1c\x85\xa0 İstanbul ΑΣΣ don't I'LL 12½", "<|startoftext|>", "한" * 3, "a" * 3000] + ["".join(r.choice(pool) for _ in range(r.randint(1, 40))) for _ in range(300)]
 
 
-@pytest.mark.parametrize("head_words", [0, 50, 300_000])
-def test_bpe_equals_the_library(spark, head_words):
+@pytest.mark.parametrize("block", [500, wordtable.BLOCK])
+def test_bpe_equals_the_library(spark, block):
     content = bpe.read_tokenizer()
     t = Tokenizer.from_str(content)
     texts = [*odd_texts(), None]
-    docs = [*enumerate(texts), (0, ""), (2, texts[2]), (2, texts[4]), (None, texts[2])]
+    docs = [*enumerate(texts), (0, ""), (2, texts[2]), (2, texts[4]), (None, texts[2]), (None, texts[3]), (None, texts[2]), (9, None)]
     df = spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' AS word", "1 AS pos", "2 AS ids")
-    encoded = bpe.encode(df, content, head_words)
+    encoded = bpe.encode(df, content, block)
     want = []
     for d, x in docs:
         ids = t.encode(x or "", add_special_tokens=False).ids
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         want.append((d, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
-    assert rows_of(bpe.digests(encoded, content)) == Counter(want)
-    if head_words == 50:
+    assert rows_of(bpe.digests(df, content, block=block)) == Counter(want)
+    if block == 500:
         assert {r["decoded"] for r in bpe.decode(encoded, content).collect()} == {t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for _, x in docs}
         assert bpe.encode(df.limit(0), content).collect() == []
 
 
+def test_words_end_where_the_library_splits():
+    import pyarrow as pa
+
+    t = Tokenizer.from_str(bpe.read_tokenizer())
+    chars = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000]
+    pairs = [f"a{c}b" for c in chars]
+    plain, slow = (wordtable.split(pa.array(x), False).to_pylist()[: len(pairs)] for x in (pairs, [*pairs, "\x1c"]))
+    assert {c for c, w in zip(chars, slow) if w == ["a", "b"]} == {c for c, p in zip(chars, pairs) if t.normalizer.normalize_str(p) == "a b"}
+    assert plain == slow
+    assert {c for c, w in zip(chars, wordtable.split(pa.array(pairs), True).to_pylist()) if len(w) == 2} == {c for c in chars if c.isspace()}
+    assert wordtable.split(pa.array(["a\x1cb c", None and ""]).fill_null(""), False).to_pylist() == [["a\x1cb", "c"], [""]]
+
+
 def best_count(word, scores, byte):
     """Plain Viterbi."""
     best = [(0, 0)]
@@ -271,14 +284,14 @@ def best_count(word, scores, byte):
     return -best[-1][1]
 
 
-@pytest.mark.parametrize("head_words", [0, 20, 300_000])
-def test_token_counts(spark, head_words):
+@pytest.mark.parametrize("block", [40, wordtable.BLOCK])
+def test_token_counts(spark, block):
     pieces = tokencounts.read_pieces()
     scores, byte = tokencounts.zipf(pieces)
-    docs = [(1, "The cat  sat\non the mat"), (2, None), (3, " \t "), (4, "unbelievable 北京 🙂 xyz"), (4, "unbelievable 北京 🙂 xyz"), (4, "other text"), (None, "the the the"), (5, "ab" * 500)]
+    docs = [(1, "The cat  sat\non the mat"), (2, None), (3, " \t "), (4, "unbelievable 北京 🙂 xyz"), (4, "unbelievable 北京 🙂 xyz"), (4, "other text"), (None, "the the the"), (None, "unbelievable xyz"), (None, "unbelievable xyz"), (6, "a\x1cb\x85c\u2003d\u3000e"), (5, "ab" * 500)]
     want = [(d, len((t or "").split()), sum(best_count("▁" + w, scores, byte) for w in (t or "").split())) for d, t in docs]
     df = spark.createDataFrame(docs, DOCS).selectExpr("*", "'x' AS word", "1 AS times")
-    assert rows_of(tokencounts.token_counts(df, pieces, head_words)) == Counter(want)
+    assert rows_of(tokencounts.token_counts(df, pieces, block)) == Counter(want)
 
 
 def test_trie_shares_prefixes():
