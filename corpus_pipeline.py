@@ -55,8 +55,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, digests of ids and decoded text, and the ids (binary, little-endian unsigned 32-bit)."""
-    content = bpe.read_tokenizer()
-    return bpe.digests(bpe.encode(docs, content), content, keep_ids=True)
+    return bpe.digests(docs, bpe.read_tokenizer(), keep_ids=True)
 
 
 STAGES = [
