@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import table
+from palisade.llm.common import lean, table
 from palisade.llm.wordtable import BLOCK, binary_of, bytes_of, ends_of, with_values
 
 #: Characters for which str.lower(), NFC and the classes below equal the library's.
@@ -147,6 +147,7 @@ def decode(encoded: DataFrame, content: str) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(pieces_of(content))
     names = encoded.columns
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(shared.value, pa.string())
         for b in batches:

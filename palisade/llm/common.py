@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,26 @@ def buckets(df: DataFrame, each: int) -> int:
     return max(partitions(df.sparkSession), -(-size // each) if known else 0)
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps idle Python workers, and all of them count to their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, which gives back what it held when its partition is done."""
+
+    @functools.wraps(run)
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; one of our own only where none is named and Spark runs in one process."""
     sc = spark.sparkContext

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import table
+from palisade.llm.common import lean, table
 
 OTHER = re.compile(r"[\W_]+")
 RATE = 0.1
@@ -134,6 +134,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.distinct().orderBy("item_id", "text").collect()])
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = Matcher(shared.value, rate).find
             for b in batches:
@@ -163,6 +164,7 @@ def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
         part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.distinct().orderBy("item_id", "text").collect()])
 
+        @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             find = Matcher(shared.value, rate).find
             for b in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settle, table
+from palisade.llm.common import lean, settle, table
 
 WORD = re.compile(r"[^\W\d_]+")
 MAX_GRAM = 4
@@ -60,6 +60,7 @@ def _counted(rows: Iterator[tuple[str, list[str], int]], names: list[str]) -> It
     yield out()
 
 
+@lean
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
@@ -69,6 +70,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _counted(rows(), ["lang", "key", "n"])
 
 
+@lean
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for b in batches:
@@ -121,6 +123,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), "lang_pred string", "score double"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         ids, table = {w: i for i, w in enumerate(m.words)}, np.array([*m.words.values()] or [[0.0] * len(m.langs)])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import table
+from palisade.llm.common import lean, table
 
 UNKNOWN = "application/octet-stream"
 BLOCK = 192
@@ -191,6 +191,7 @@ def inspect(df: DataFrame, media: str = "media", declared: str = "declared") ->
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "detected string, corrected boolean, embedded array<struct<offset:long,length:long,type:string>>"])
     kind = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         for b in batches:
@@ -224,6 +225,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, declared, media): each text, padded with spaces to blocks, as a WAV file of no known type."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [(t.as_py() or "").encode() for t in b["text"]]
@@ -238,6 +240,7 @@ def read_back(inspected: DataFrame) -> DataFrame:
     kind = inspected.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list] = [[] for _ in names[2:]]

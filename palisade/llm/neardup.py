@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settle, table
+from palisade.llm.common import lean, settle, table
 from palisade.llm.components import components
 from palisade.llm.dartminhash import bands, mix, signatures
 
@@ -71,6 +71,7 @@ def unpack(b: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+@lean
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = Shingler()
 
@@ -96,12 +97,14 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, keys, sets, n = i + 1, [], [], 0
 
 
+@lean
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     s = Shingler()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b["node"], pa.array([pack(s.shingles(s.words(t.as_py()))) for t in b["text"]], pa.binary())], ["node", "set"])
 
 
+@lean
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import settle, table
+from palisade.llm.common import lean, settle, table
 
 #: A subtree is template if it is in so many different articles of a host, and in such a share of them: outside the article,
 #: inside it, and as one of the EDGE first or last blocks inside it.
@@ -248,6 +248,7 @@ def host(url: Column) -> Column:
 def template_subtrees(pages: DataFrame) -> DataFrame:
     """(host, outer, inner, ends): hashes of the subtrees that recur in the articles of each host."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, int], bool] = {}
 
@@ -295,6 +296,7 @@ def extract(pages: DataFrame) -> DataFrame:
     known = F.broadcast(known) if held <= BROADCAST_HASHES else known
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host")).join(known, "host", "left").select("page_id", "url", "html", "outer", "inner", "ends")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [

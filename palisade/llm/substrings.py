@@ -26,10 +26,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palisade.llm.common import partitions, table
+from palisade.llm.common import buckets, lean, partitions, table
 from palisade.llm.dartminhash import mix
 from palisade.llm.suffixes import DEPTH, prefix_classes
 
@@ -37,8 +37,9 @@ ANCHOR = 20
 SPAN = DEPTH - ANCHOR  # an anchor's string starts at most so far before it
 CHUNK = 1 << 20  # bytes hashed at once
 PART = 8 << 20  # bytes of text whose runs are held at once
-SHARD = 1 << 20  # bytes sorted at once
-BUCKETS = 4  # of each partition
+SHARD = 1 << 19  # bytes sorted at once
+BUCKETS = 4  # of each partition, at least
+BUCKET = 2 << 20  # bytes of input that share a bucket of hashes
 _BASE = 0x100000001B3
 _INDEX = np.uint64(2**36 - 1)
 
@@ -80,10 +81,10 @@ def _heads(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
-def _packed(key: np.ndarray, columns: dict[str, pa.Array], buckets: int) -> Iterator[tuple[int, bytes]]:
+def _packed(key: np.ndarray, columns: dict[str, pa.Array], count: int) -> Iterator[tuple[int, bytes]]:
     """(bucket, compressed rows with their 48-bit keys), the rows of each bucket sorted by key."""
     key = key & np.uint64(2**48 - 1)
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    bucket = (key % np.uint64(count)).astype(np.int64)
     by = np.lexsort((key, bucket))
     rows = pa.table({"low": pa.array((key & np.uint64(2**32 - 1)).astype(np.uint32)), "high": pa.array((key >> np.uint64(32)).astype(np.uint16))} | columns).take(pa.array(by))
     starts = _heads(bucket[by])
@@ -128,18 +129,19 @@ def _chunks(b: pa.RecordBatch, text: Callable[[int], bytes]) -> Iterator[tuple[l
             rows, raw, n = [], [], 0
 
 
-def _anchored(buckets: int) -> Callable:
+def _anchored(count: int) -> Callable:
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple[int, bytes]] = []
             for rows, sizes, text in _chunks(b, lambda i, b=b: (b["text"][i].as_py() or "").encode()):
-                out += _chunk(b["doc_id"], rows, sizes, text, buckets)
+                out += _chunk(b["doc_id"], rows, sizes, text, count)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "block"])
 
     return run
 
 
-def _chunk(ids: pa.Array, rows: list[int], sizes: np.ndarray, text: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+def _chunk(ids: pa.Array, rows: list[int], sizes: np.ndarray, text: np.ndarray, count: int) -> Iterator[tuple[int, bytes]]:
     ends = np.cumsum(sizes)
     at, h = anchors(text)
     at = at[_heads(at)]
@@ -157,9 +159,10 @@ def _chunk(ids: pa.Array, rows: list[int], sizes: np.ndarray, text: np.ndarray,
     away[start] = False  # one of them stays under its hash, for other chunks to meet
     key = np.where(away, mix(hs ^ mix(np.arange(len(hs), dtype=np.uint64))), hs)
     pos = at[by] - (ends - sizes)[ds]
-    yield from _packed(key, {"doc_id": ids.take(pa.array(np.array(rows)[ds])), "pos": pa.array(pos, pa.int32()), "known": pa.array(known)}, buckets)
+    yield from _packed(key, {"doc_id": ids.take(pa.array(np.array(rows)[ds])), "pos": pa.array(pos, pa.int32()), "known": pa.array(known)}, count)
 
 
+@lean
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors that another document has."""
     for t in _unpacked(batches):
@@ -171,6 +174,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from t.select(["doc_id", "pos"]).filter(keep).combine_chunks().to_batches()
 
 
+@lean
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``PART`` bytes of text, or of one row."""
     for b in batches:
@@ -181,9 +185,9 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int]]:
-    """(row, bytes, anchor's place in them, start in the text, hash) of each run of strings with a shared anchor."""
-    zip_ = pa.Codec("zstd")
+def _runs(b: pa.RecordBatch) -> pa.Table:
+    """Each run of strings with a shared anchor: its row, its start in the text, the anchor's hash, and its bytes."""
+    zip_, out = pa.Codec("zstd"), [pa.table({c: pa.array([], t) for c, t in (("row", pa.int64()), ("lo", pa.int32()), ("hash", pa.uint64()), ("window", pa.binary()))})]
     raw = lambda i: zip_.decompress(b["block"][i].as_buffer(), b["size"][i].as_py(), asbytes=True)
     for rows, sizes, text in _chunks(b, raw):
         ends = np.cumsum(sizes)
@@ -198,38 +202,58 @@ def _runs(b: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, int, int]]:
         if not len(starts):
             continue
         first = _heads(at[starts])
-        last = np.concatenate([first[1:], [len(starts)]]) - 1
-        data = text.tobytes()
-        where = np.array(rows)[doc[first]].tolist()
-        hashes = h[at[starts[first]]].tolist()
-        for i, a, z, p, o, x in zip(where, starts[first].tolist(), (starts[last] + DEPTH).tolist(), at[starts[first]].tolist(), begin[doc[first]].tolist(), hashes, strict=True):
-            yield i, data[a:z], p - a, a - o, x
-
-
-def _sent(buckets: int) -> Callable:
+        a, z, doc = starts[first], starts[np.concatenate([first[1:], [len(starts)]]) - 1] + DEPTH, doc[first]
+        to = np.cumsum(z - a).astype(np.int32)
+        data = np.empty(int(to[-1]), np.uint8)
+        # Bytes are copied offset by offset: a run has 50 to 80 of them.
+        begun = to - (z - a)
+        for k in range(DEPTH + SPAN):
+            inside = slice(None) if k < DEPTH else a + k < z
+            data[begun[inside] + k] = text[a[inside] + k]
+        windows = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.concatenate([[0], to]).astype(np.int32)), pa.py_buffer(data)])
+        out.append(pa.table({"row": pa.array(np.array(rows)[doc], pa.int64()), "lo": pa.array(a - begin[doc], pa.int32()), "hash": pa.array(h[at[a]], pa.uint64()), "window": windows}))
+    return pa.concat_tables(out).combine_chunks()
+
+
+def _ranks(ids: pa.Array) -> np.ndarray:
+    """Equal numbers for equal ids, in their order."""
+    coded = ids.dictionary_encode()
+    return pa.compute.rank(coded.dictionary, tiebreaker="dense").to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+
+
+def _sent(count: int) -> Callable:
     """Runs of each batch's least documents, packed by their anchors' hashes; spans of the other documents' runs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _parts(batches):
-            ids, least, runs, spans = b["doc_id"].to_pylist(), {}, [], {}
-            for r in _runs(b):
-                k = r[1:3]
-                if (old := least.get(k)) is None or ids[r[0]] < old:
-                    least[k] = ids[r[0]]
-                runs.append(r)
-            sent = [r for r in runs if least[r[1:3]] == ids[r[0]]]
-            for i, w, a, lo, _ in runs:
-                if least[w, a] != ids[i]:
-                    spans.setdefault(i, []).append((lo, lo + len(w)))
-            flat = [(i, *x) for i, s in spans.items() for x in merged(s)]
-            of = pa.array([x[0] for x in flat], pa.int64())
-            empty = pa.nulls(len(flat), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([i % buckets for i, *_ in flat], pa.int32()), empty, b["doc_id"].take(of), b["h"].take(of), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.int32())], names)
-            of = pa.array([r[0] for r in sent], pa.int64())
-            columns = {"window": pa.array([r[1] for r in sent], pa.binary()), "doc_id": b["doc_id"].take(of), "h": b["h"].take(of), "lo": pa.array([r[3] for r in sent], pa.int32())}
-            blocks = list(_packed(np.array([r[4] for r in sent], np.uint64), columns, buckets)) if sent else []
-            none = pa.nulls(len(blocks), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in blocks], pa.int32()), pa.array([x[1] for x in blocks], pa.binary()), pa.nulls(len(blocks), b["doc_id"].type), none, none, none], names)
+            runs = _runs(b)
+            if not runs.num_rows:
+                continue
+            row, lo = runs["row"].to_numpy(), runs["lo"].to_numpy()
+            size = pa.compute.binary_length(runs["window"]).to_numpy()
+            coded = runs["window"].combine_chunks().dictionary_encode()
+            kind, rank = coded.indices.to_numpy(), _ranks(b["doc_id"])[row]
+            least = np.full(len(coded.dictionary), 2**62)
+            np.minimum.at(least, kind, rank)
+            first = rank == least[kind]
+            # The others' runs lose all; those of a row are in order, so spans that meet are merged in one pass.
+            others = np.flatnonzero(~first)
+            of, a, z = row[others], lo[others], lo[others] + size[others]
+            new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (a[1:] > z[:-1])])) if len(of) else others
+            last = np.concatenate([new[1:], [len(of)]]) - 1 if len(of) else others
+            of = pa.array(of[new], pa.int64())
+            yield pa.RecordBatch.from_arrays([
+                pa.array(row[others][new] % count, pa.int32()), pa.nulls(len(of), pa.binary()), b["doc_id"].take(of), b["h"].take(of),
+                pa.array(a[new], pa.int32()), pa.array(z[last], pa.int32()),
+            ], names)
+            sent = pa.array(np.flatnonzero(first))
+            of = runs["row"].take(sent).combine_chunks()
+            columns = {"window": runs["window"].take(sent).combine_chunks(), "doc_id": b["doc_id"].take(of), "h": b["h"].take(of), "lo": runs["lo"].take(sent).combine_chunks()}
+            del coded
+            for bucket, block in _packed(runs["hash"].take(sent).to_numpy(), columns, count):
+                none = pa.nulls(1, pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([block], pa.binary()), pa.nulls(1, b["doc_id"].type), pa.nulls(1, b["h"].type), none, none], names)
 
     names = ["bucket", "block", "doc_id", "h", "a", "z"]
     return run
@@ -282,6 +306,7 @@ def shard_spans(windows: pa.Array, docs: pa.Array, starts: np.ndarray) -> tuple[
     )
 
 
+@lean
 def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans as they come, and those of the packed runs; a shard ends where a key ends."""
     names = ["doc_id", "h", "a", "z"]
@@ -311,53 +336,58 @@ def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from passed
 
 
+@lean
 def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = pa.Codec("zstd", compression_level=3)
     for b in batches:
-        raw = [t.as_py().encode() for t in b["text"]]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array(map(len, raw), pa.int64()), pa.array([zip_.compress(x, asbytes=True) for x in raw], pa.binary())], ["doc_id", "h", "size", "block"])
+        raw = (t.as_buffer() for t in b["text"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["h1"], b["h2"], pa.compute.binary_length(b["text"]).cast(pa.int64()), pa.array([zip_.compress(x, asbytes=True) for x in raw], pa.binary())], ["doc_id", "h1", "h2", "size", "block"])
 
 
+@lean
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     zip_ = pa.Codec("zstd")
-    for b in batches:
-        cols: list[list] = [[], [], [], []]
-        for i, (h, spans) in enumerate(zip(b["h"].to_pylist(), b["spans"].to_pylist(), strict=True)):
-            raw = zip_.decompress(b["block"][i].as_buffer(), n, asbytes=True) if (n := b["size"][i].as_py()) else b""
-            found = merged([(s["a"], s["z"]) for s in spans or () if s["h"] == h])
-            kept, at = [], 0
-            for a, z in found:
-                kept.append(raw[at:a])
-                at = z
-            kept.append(raw[at:])
-            for c, v in zip(cols, (len(raw), sum(z - a for a, z in found), len(found), b"".join(kept)), strict=True):
-                c.append(v)
-        yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    for whole in batches:
+        for b in _parts(iter([whole])):
+            cols: list[list] = [[], [], [], []]
+            for i, (h, spans) in enumerate(zip(b["h"].to_pylist(), b["spans"].to_pylist(), strict=True)):
+                raw = zip_.decompress(b["block"][i].as_buffer(), n, asbytes=True) if (n := b["size"][i].as_py()) else b""
+                found = merged([(s["a"], s["z"]) for s in spans or () if s["h"] == h])
+                kept, at = [], 0
+                for a, z in found:
+                    kept.append(raw[at:a])
+                    at = z
+                kept.append(raw[at:])
+                for c, v in zip(cols, (len(raw), sum(z - a for a, z in found), len(found), b"".join(kept)), strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row of ``docs``; kept: binary, what remains of the text."""
-    n = partitions(docs.sparkSession)
+    n, count = partitions(docs.sparkSession), max(BUCKETS * partitions(docs.sparkSession), buckets(docs, BUCKET))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    zipped = f"doc_id {kind}, h int, size long, block binary"
-    hashed = rows.select("doc_id", F.hash("text").alias("h"), "text")
+    zipped = f"doc_id {kind}, h1 long, h2 long, size long, block binary"
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"), "text")
     # The same exchange serves both joins on doc_id; the second filter is what the first join would add to its side.
     named = F.col("doc_id").isNotNull()
     keyed = hashed.where(named).mapInArrow(_zipped, zipped).where(named).repartition(n, "doc_id")
+    # Rows of a doc_id with different texts are numbered, by 128 bits of hash.
+    keyed = keyed.select("doc_id", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("h1", "h2")).alias("h"), "size", "block")
     met = (
-        rows.where(named).mapInArrow(_anchored(n * BUCKETS), "bucket int, block binary")
+        rows.where(named).mapInArrow(_anchored(count), "bucket int, block binary")
         .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_met, f"doc_id {kind}, pos int")
     )
     places = met.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("at"))
     shared = keyed.join(places.hint("merge"), "doc_id")
     spans = (
-        shared.mapInArrow(_sent(n * BUCKETS), f"bucket int, block binary, doc_id {kind}, h int, a int, z int")
+        shared.mapInArrow(_sent(count), f"bucket int, block binary, doc_id {kind}, h int, a int, z int")
         .repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sharded, f"doc_id {kind}, h int, a int, z int")
     )
     lost = spans.groupBy("doc_id").agg(F.collect_set(F.struct("h", "a", "z")).alias("spans"))
     joined = keyed.join(lost.hint("merge"), "doc_id", "left").select("doc_id", "h", "size", "block", "spans")
-    unnamed = hashed.where(~named).mapInArrow(_zipped, zipped).withColumn("spans", F.lit(None).cast(joined.schema["spans"].dataType))
+    unnamed = hashed.where(~named).mapInArrow(_zipped, zipped).select("doc_id", F.lit(1).alias("h"), "size", "block", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans"))
     return joined.unionByName(unnamed).mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import buckets, partitions
+from palisade.llm.common import buckets, lean, partitions, release
 from palisade.llm.dartminhash import mix
 
 #: Bytes of text in a block at most; a longer text is a block of its own.  A batch of rows is one block or more.
@@ -98,6 +98,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.A
 def _cut(count: int, separators: bool, most: int) -> Callable:
     names = ["key", "block", "ids", "ends", "n", "size", "data"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, zip_ = TaskContext.get(), pa.Codec("zstd", compression_level=3)
         first = context.partitionId() << 32 if context else 0
@@ -133,6 +134,7 @@ def _cut(count: int, separators: bool, most: int) -> Callable:
 def _valued(make_value: Callable[[], Callable[[list[str]], list[bytes]]]) -> Callable:
     names = ["key", "n", "size", "data"]
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_, value, held, at = pa.Codec("zstd", compression_level=3), make_value(), [], None
 
@@ -191,6 +193,8 @@ def with_values(
             found = found.take(pa.array(by)).take(pa.array(codes))
         else:
             found = pa.array([], pa.binary())
+        del packs, codes, planes
+        release()
         return finish(row["ids"][0].values, ends, found)
 
     def empty() -> pa.Table:

@@ -106,7 +106,7 @@ def test_shards_and_chunks_of_any_size(monkeypatch, shard, chunk):
     monkeypatch.setattr(substrings, "SHARD", shard)
     monkeypatch.setattr(substrings, "CHUNK", chunk)
     docs = make(5, 40)
-    table = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([0] * len(docs), pa.int32()), pa.array([t for _, t in docs])], ["doc_id", "h", "text"])
+    table = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([0] * len(docs)), pa.array([0] * len(docs)), pa.array([t for _, t in docs])], ["doc_id", "h1", "h2", "text"])
 
     def dealt(batches):
         rows = pa.Table.from_batches([b for b in batches if b.num_rows]).sort_by("bucket")
@@ -118,7 +118,7 @@ def test_shards_and_chunks_of_any_size(monkeypatch, shard, chunk):
         places.setdefault(d, set()).add(p)
     zipped = next(substrings._zipped(iter([table])))
     at = pa.array([sorted(places.get(d, ())) for d, _ in docs], pa.list_(pa.int32()))
-    shared = pa.RecordBatch.from_arrays([*zipped.columns, at], [*zipped.schema.names, "at"])
+    shared = pa.RecordBatch.from_arrays([zipped["doc_id"], pa.array([1] * len(docs), pa.int32()), zipped["size"], zipped["block"], at], ["doc_id", "h", "size", "block", "at"])
     halves = iter([shared.slice(0, 21), shared.slice(21)])
     spans: dict[int, list] = {}
     for out in substrings._sharded(dealt(substrings._sent(3)(halves))):
