@@ -9,7 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def buckets(df: DataFrame, each: int) -> int:
     return max(partitions(df.sparkSession), -(-size // each) if known else 0)
 
 
+def parts(texts: pa.Array, most: int) -> list[tuple[int, int]]:
+    """Even parts of the rows, each of about ``most`` bytes of text at most, or of one row."""
+    if not len(texts):
+        return []
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    count = max(1, -(-int(sizes[-1]) // most))
+    cuts = np.unique(np.searchsorted(sizes, sizes[-1] / count * np.arange(1, count), side="right")).tolist()
+    cuts = [0, *(c for c in cuts if 0 < c < len(texts)), len(texts)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def release() -> None:
     """Give freed memory back to the system: Spark keeps idle Python workers, and all of them count to their executor."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palisade.llm.common import buckets, lean, partitions, release
+from palisade.llm.common import buckets, lean, partitions, parts, release
 from palisade.llm.dartminhash import mix
 
 #: Bytes of text in a block at most; a longer text is a block of its own.  A batch of rows is one block or more.
@@ -83,16 +83,15 @@ def _unpacked(zip_: pa.Codec, n: int, size: int, data: pa.Scalar) -> tuple[np.nd
     return np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<u4", n, 4 * n), raw[8 * n :]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[pa.Array, pa.Array]]:
-    """Even parts of each batch, of about ``most`` bytes of text or one row."""
-    for b in batches:
-        sizes = np.cumsum(pc.binary_length(b["text"]).to_numpy().astype(np.int64))
-        parts = max(1, -(-int(sizes[-1]) // most)) if len(sizes) else 0
-        cuts = np.unique(np.searchsorted(sizes, sizes[-1] / parts * np.arange(1, parts), side="right")).tolist() if parts > 1 else []
-        cuts = [0, *(c for c in cuts if 0 < c < b.num_rows), b.num_rows]
-        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if z > a:
-                yield b["doc_id"].slice(a, z - a), b["text"].slice(a, z - a)
+def coded_words(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(words by number, ends of the rows among them, distinct words); empty strings have no place, but may be among the distinct ones."""
+    coded = words.flatten().dictionary_encode()
+    codes, ends, kinds = coded.indices.to_numpy(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py(), coded.dictionary
+    empty = kinds.index("").as_py() if len(kinds) else -1
+    if empty >= 0:
+        keep = codes != empty
+        ends, codes = np.concatenate([[0], np.cumsum(keep)])[ends], codes[keep]
+    return codes, ends, kinds
 
 
 def _cut(count: int, separators: bool, most: int) -> Callable:
@@ -102,25 +101,19 @@ def _cut(count: int, separators: bool, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context, zip_ = TaskContext.get(), pa.Codec("zstd", compression_level=3)
         first = context.partitionId() << 32 if context else 0
-        for block, (ids, texts) in enumerate(_blocks(batches, most), first):
-            words = split(texts, separators)
-            coded = words.flatten().dictionary_encode()
-            del texts
-            codes, ends, kinds = coded.indices.to_numpy(), words.offsets.to_numpy()[1:] - words.offsets[0].as_py(), coded.dictionary
-            empty = kinds.index("").as_py() if len(kinds) else -1
-            if empty >= 0:
-                keep = codes != empty
-                ends, codes = np.concatenate([[0], np.cumsum(keep)])[ends], codes[keep]
+        whole = ((b, a, z) for b in batches for a, z in parts(b["text"], most))
+        for block, (b, a, z) in enumerate(whole, first):
+            ids, (codes, ends, kinds) = b["doc_id"].slice(a, z - a), coded_words(split(b["text"].slice(a, z - a), separators))
             planes = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
             rows = [(-1 - block, len(codes), len(planes), zip_.compress(planes, asbytes=True) if planes else b"")]
-            del words, coded, planes
+            del planes
             of = (word_hashes(kinds) % np.uint64(count)).astype(np.int64)
             by = np.argsort(of, kind="stable")
             kinds, of = kinds.take(pa.array(by)), of[by]
             at, data = ends_of(kinds), bytes_of(kinds)
             starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
-            for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False):
-                rows.append((int(of[a]), *_packed(zip_, by[a:z], np.diff(at[a : z + 1]), data[at[a] - at[0] : at[z] - at[0]])))
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=False):
+                rows.append((int(of[i]), *_packed(zip_, by[i:j], np.diff(at[i : j + 1]), data[at[i] - at[0] : at[j] - at[0]])))
             rest = len(rows) - 1
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in rows], pa.int64()), pa.array([block] * len(rows), pa.int64()),

@@ -1,5 +1,7 @@
 """The pipeline's stages and its whole run."""
 
+from collections import Counter
+
 import corpus_pipeline as cp
 from palisade.llm import decontaminate
 from palisade.llm.common import table
@@ -25,6 +27,24 @@ def test_stages_and_run(spark):
     assert 0 < len(rows) < n and all(len(r["ids"]) == 4 * r["n_tokens"] for r in rows) and not leaks & {r["doc_id"] for r in rows}
 
 
+def test_clashing_columns_ties_and_long_texts(spark):
+    long = " ".join(f"word{i % 977}x" for i in range(150_000))
+    rows = [(1, "the same words come twice in here\n" + "b" * 30, "en"), (2, "the same words come twice in here", "en"), (3, long, "en"), (4, long, "de"), (5, "first text of five", "en"), (5, "second text of five", "en"), (5, "first text of five", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "'s' AS source", "0L AS n_chars", "7 AS score", "'q' AS lang_pred", "1 AS row", "2 AS h", "3 AS class_id", "4 AS text_hash", "5 AS node")
+    want = Counter((d, t) for d, t, _ in rows)
+    for name, stage in cp.STAGES[:4]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        if name == "line_dedup":
+            assert kept == want - Counter([(2, rows[1][1]), (4, long)])
+        elif name == "near_duplicates":
+            assert kept == Counter(set(want) - {(4, long)})
+        else:
+            assert kept == want
+        assert {(r["score"], r["lang_pred"], r["row"], r["h"]) for r in got.collect()} == {(7, "q", 1, 2)}
+
+
 def test_odd_rows(spark):
     import tempfile
 

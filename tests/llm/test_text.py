@@ -230,8 +230,56 @@ def test_language_id_odd_rows(spark):
 
 
 def test_backoff_goes_to_shorter_grams():
-    m = langid.Model(["a", "b"], [("word", {"a": 3})], [("zz", {"b": 5}), ("q", {"a": 2})], {"a": 3, "b": 1})
-    assert m.backoff("xzzx") == m.grams["zz"] and m.backoff("q1") == m.grams["q"] and m.backoff("k") == (0.0, 0.0)
+    import pyarrow as pa
+
+    key = lambda g: int(langid.Grams(pa.array([g])).of(len(g))[0].view("int64")[1 if len(g) > 1 else 0])  # noqa: E731  the inner one
+    m = langid.Model(["a", "b"], [("word", {"a": 3})], {2: [(key("zz"), {"b": 5})], 1: [(key("q"), {"a": 2})]}, {"a": 3, "b": 1}, {2: {"b": 5}, 1: {"a": 2}})
+    got = m.scores(pa.array(["xzzx", "q1", "k", "word", "zzzz"]))
+    assert got[0].tolist() == m.gram_logs[2][0].tolist() == got[4].tolist() and got[1].tolist() == m.gram_logs[1][0].tolist() and got[2].tolist() == [0, 0] and got[3].tolist() == m.logs[0].tolist()
+
+
+def test_language_id_equals_plain_python(spark):
+    """Counts, cut, back-off and posterior against a plain computation."""
+    import math
+    import re
+
+    r = random.Random(8)
+    vocabulary = {x: ["".join(r.choice(letters) for _ in range(r.randint(1, 6))) for _ in range(60)] for x, letters in (("aa", "abcdeé"), ("bb", "cdefgß"), ("cc", "aeiouxß"))}
+    text = lambda x, k: " ".join(r.choice(vocabulary[x]) for _ in range(k)) + r.choice(["", ". 12 X", "_y!"])
+    rows = [(i, text(x, r.randint(1, 30)), x) for i in range(90) for x in [r.choice("aa bb cc".split())]] + [(100, None, "aa"), (101, "abc", None)]
+    probe = [(i, " ".join(text(r.choice("aa bb cc".split()), r.randint(0, 4)) for _ in range(2))) for i in range(80)] + [(200, None), (201, "7 _"), (202, "zzzz"), (203, "a" * 3000)]
+    share = 0.004
+    find = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs = ["aa", "bb", "cc"]
+    words = {x: Counter(w for _, t, y in rows if t and y == x for w in find(t)) for x in langs}
+    grams_of = lambda w, n: [w] if n == 0 else [v[i : i + n] for v in [f"^{w}$" if n > 1 else w] for i in range(len(v) - n + 1)]
+    tables = []
+    for n in (0, 4, 3, 2, 1):
+        c = {x: Counter() for x in langs}
+        for x in langs:
+            for w, k in words[x].items():
+                for g in grams_of(w, n):
+                    c[x][g] += k
+        total = {x: sum(c[x].values()) for x in langs}
+        kept = {g for x in langs for g, k in c[x].items() if k / total[x] >= share}
+        tables.append((n, {g: [math.log((c[x][g] + 0.5) / (total[x] + 0.5 * (len(kept) + 1))) for x in langs] for g in kept}))
+
+    def score(w):
+        for n, t in tables:
+            if known := [t[g] for g in grams_of(w, n) if g in t]:
+                return [sum(v) / len(known) for v in zip(*known, strict=True)]
+        return [0.0] * 3
+
+    want = {}
+    for d, t in probe:
+        ws = find(t or "")
+        total = [sum(v) for v in zip(*map(score, ws), strict=True)] if ws else []
+        want[d] = (langs[total.index(max(total))], 1 / sum(math.exp((v - max(total)) * min(1, 20 / len(ws))) for v in total)) if ws else ("und", 0.0)
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), share)
+    assert any(w not in tables[0][1] for d, t in probe for w in find(t or ""))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame(probe, DOCS).selectExpr("*", "9 AS score", "'q' AS lang_pred"), model).collect()}
+    assert {d: g[0] for d, g in got.items()} == {d: w[0] for d, w in want.items()}
+    assert all(abs(got[d][1] - want[d][1]) < 1e-4 for d in want)
 
 
 # Tokens.
