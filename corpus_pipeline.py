@@ -9,8 +9,9 @@ written as Parquet and read again for the next.  All stages but the last return
 4. decontaminate drops documents that hold a benchmark item.
 5. bpe encodes the texts and proves that the ids decode.
 
-Documents with a null doc_id pass every stage that cannot place them (2 and 3) unchanged.  Of rows that repeat a
-doc_id, stage 3 keeps the one whose text has the least hash.
+Documents with a null doc_id pass every stage that cannot place them (2 and 3) unchanged.  Rows that repeat a doc_id
+are one document: stage 3 keeps or drops them together, and keeps one of those that repeat the text as well.
+Further columns of any name pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -21,14 +22,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm import bpe, decontaminate, langid, linededup, neardup
-from palisade.llm.common import shared_dir, table
+from palisade.llm.common import shared_dir, table, text_hash
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a told language."""
-    names = docs.columns
-    kept = langid.predict(docs.withColumn("__text", F.col("text")), langid.fit_on_documents(docs), "__text")
-    return kept.where(F.col("lang_pred") != "und").select(*names)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    return langid.predict(rows, langid.fit_on_documents(docs)).where(F.col("lang_pred") != "und").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The least document of each class of near duplicates."""
     classes = neardup.near_duplicates(docs).where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
     first = docs.where(F.col("doc_id").isNotNull()).join(classes, "doc_id", "left_anti")
-    one = first.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row")).select("row.*")
+    rows = first.select("doc_id", text_hash().alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    one = rows.groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
