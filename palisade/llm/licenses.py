@@ -2,9 +2,10 @@
 
 Built-in DataFrame functions only.  A block matches a template if it holds at least ``threshold`` of the template's
 distinct words.  Blocks are single lines, and all windows of as many words as the template has over the whole text, so
-that a notice may wrap over lines.  One pass counts how many texts hold each template word (the global frequency order,
-rarest first); the second keeps of each text only its template words in that order and joins them with the templates'
-prefixes (the first |T| - need + 1 words: any match must share one).  The length filter drops texts with fewer than
+that a notice may wrap over lines.  One pass keeps the texts that hold enough of a template's words as plain parts, with
+their template words, and settles them; over these it is counted how many texts hold each word (the global frequency
+order, rarest first), and their words in that order are joined with the templates' prefixes (the first |T| - need + 1
+words: any match must share one).  The length filter drops texts with fewer than
 ``need`` template words, the positional filter drops shared words after which too few words are left on either side,
 and the rest is verified by the full intersection, of the text and then of its blocks.  Template lists are bounded
 (``MAX_TEMPLATES``), so prefixes are broadcast.
@@ -22,7 +23,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import ascii_lower, table, text_hash
+from palisade.llm.common import ascii_lower, settle, table, text_hash
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
@@ -115,10 +116,15 @@ def similar_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     return hits.select("doc_id", "text_hash", "block", "label", (F.col("shared") / F.col("size")).alias("containment")).distinct()
 
 
-def _parts(ws: list[str], prefix: list[str], threshold: float) -> Column:
-    """Whether ``low`` has a word of the template's prefix, and as many of its words as a match needs, as plain parts."""
+def _parts(ws: list[str], threshold: float) -> Column:
+    """Whether ``low`` has as many of a template's words as a match needs, as plain parts.
+
+    A match lacks fewer words than the longest ``len(ws) - need + 1``, so one of these is looked for first.
+    """
     has = lambda w: F.contains("low", F.lit(w))
-    return reduce(or_, map(has, prefix)) & (reduce(add, (has(w).cast("int") for w in ws)) >= _need(len(ws), threshold))
+    need, longest = _need(len(ws), threshold), sorted(ws, key=lambda w: (-len(w), w))
+    first = longest[: len(ws) - need + 1]
+    return reduce(or_, map(has, first)) & (reduce(add, (has(w).cast("int") for w in longest)) >= need)
 
 
 def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -134,11 +140,14 @@ def similar_places(docs: DataFrame, templates: dict[str, str] | None = None, thr
     vocabulary = _strings(sorted({w for ws in named.values() for w in ws}))
     low = docs.select("doc_id", text_hash().alias("text_hash"), _once(ascii_lower(F.coalesce("text", F.lit("")))).alias("low"))
     held = _once(F.array_intersect(words(F.col("low")), vocabulary)).alias("ws")
-    order, prefixes = _ranked(low.select(held), named, threshold)
     if 0 < sum(map(len, named.values())) <= MAX_PARTS:  # a text without ``need`` of a template's words as parts does not meet it
-        low = low.where(reduce(or_, (_parts(ws, [p[0] for p in prefixes if p[1] == label], threshold) for label, ws in named.items())))
+        found = low.where(reduce(or_, (_parts(ws, threshold) for ws in named.values()))).select("*", held)
+        found = settle(found.where(F.size("ws") >= min(_need(len(ws), threshold) for ws in named.values())))
+    else:
+        found = low.select("*", held)
+    order, prefixes = _ranked(found, named, threshold)
     lengths = F.create_map(*(F.lit(x) for label in named for x in (label, len(re.findall(WORDS, templates[label].lower()))))) if named else F.create_map().cast("map<string,int>")
-    hits = _met(low.select("*", held), order, prefixes).select("doc_id", "text_hash", "low", "label", "tws", "size", "need", lengths[F.col("label")].alias("span"))
+    hits = _met(found, order, prefixes).select("doc_id", "text_hash", "low", "label", "tws", "size", "need", lengths[F.col("label")].alias("span"))
     tokens = F.flatten(F.transform(F.split("low", "\n"), lambda line, i: F.transform(words(line), lambda w: F.struct(i.alias("block"), w.alias("w")))))
     hits = hits.select("*", _once(F.transform(tokens, lambda t, p: F.struct(p.alias("p"), t["block"].alias("block"), t["w"].alias("w")))).alias("all"))
     hits = hits.select("*", _once(F.filter("all", lambda x: F.array_contains("tws", x["w"]))).alias("mine")).drop("all", "low")
