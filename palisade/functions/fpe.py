@@ -1,9 +1,10 @@
-"""Format-preserving encryption: FF1 of NIST SP 800-38G over AES, in plain Python."""
+"""Format-preserving encryption: FF1 of NIST SP 800-38G over AES, for all values of one length at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 
 
@@ -32,8 +33,12 @@ BOX, RCON = _tables()
 DOUBLE = bytes((x << 1) ^ (0x11B if x & 0x80 else 0) for x in range(256))
 
 
+_BOX, _DOUBLE = np.frombuffer(BOX, np.uint8), np.frombuffer(DOUBLE, np.uint8)
+_SHIFT = [(i + 4 * (i % 4)) % 16 for i in range(16)]
+
+
 class Aes:
-    """Encryption of single blocks."""
+    """Encryption of many blocks at once."""
 
     def __init__(self, key: bytes):
         if len(key) not in (16, 24, 32):
@@ -51,17 +56,17 @@ class Aes:
             words.append(bytes(a ^ b for a, b in zip(words[i - n], w, strict=True)))
         self.keys = [b"".join(words[4 * r : 4 * r + 4]) for r in range(self.rounds + 1)]
 
-    def block(self, data: bytes) -> bytes:
-        s = bytes(a ^ b for a, b in zip(data, self.keys[0], strict=True))
+    def blocks(self, data: np.ndarray) -> np.ndarray:
+        """(blocks, 16) bytes, each encrypted."""
+        keys = [np.frombuffer(k, np.uint8) for k in self.keys]
+        s = data ^ keys[0]
         for r in range(1, self.rounds + 1):
-            s = [BOX[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
+            s = _BOX[s][:, _SHIFT]
             if r < self.rounds:
-                t = []
-                for c in range(0, 16, 4):
-                    a = s[c : c + 4]
-                    t += [DOUBLE[a[k]] ^ DOUBLE[a[(k + 1) % 4]] ^ a[(k + 1) % 4] ^ a[(k + 2) % 4] ^ a[(k + 3) % 4] for k in range(4)]
-                s = t
-            s = bytes(a ^ b for a, b in zip(s, self.keys[r], strict=True))
+                a = s.reshape(-1, 4, 4)
+                b = np.roll(a, -1, axis=2)
+                s = (_DOUBLE[a ^ b] ^ b ^ np.roll(a, -2, axis=2) ^ np.roll(a, -3, axis=2)).reshape(-1, 16)
+            s = s ^ keys[r]
         return s
 
 
@@ -76,12 +81,6 @@ class Ff1:
         while radix**self.least < 1_000_000:
             self.least += 1
 
-    def _mac(self, data: bytes) -> bytes:
-        y = bytes(16)
-        for i in range(0, len(data), 16):
-            y = self.aes.block(bytes(a ^ b for a, b in zip(y, data[i : i + 16], strict=True)))
-        return y
-
     def _number(self, x: list[int]) -> int:
         out = 0
         for d in x:
@@ -95,41 +94,57 @@ class Ff1:
             out.append(d)
         return out[::-1]
 
-    def run(self, x: list[int], decrypt: bool = False) -> list[int]:
-        n, t = len(x), len(self.tweak)
+    def run(self, xs: list[list[int]], decrypt: bool = False) -> list[list[int]]:
+        """Sequences of digits, all of one length; halves are numbers until the end."""
+        n, t = len(xs[0]), len(self.tweak)
         if n < self.least:
             raise ValueError(f"format-preserving encryption needs {self.least} characters of the alphabet")
         u, v = n // 2, n - n // 2
-        a, b = x[:u], x[u:]
+        a, b = [self._number(x[:u]) for x in xs], [self._number(x[u:]) for x in xs]
         size = -(-((self.radix**v - 1).bit_length()) // 8)
         d = 4 * -(-size // 4) + 4
         p = bytes([1, 2, 1]) + self.radix.to_bytes(3) + bytes([10, u % 256]) + n.to_bytes(4) + t.to_bytes(4)
+        begun = self.aes.blocks(np.frombuffer(p, np.uint8)[None])
         for i in range(9, -1, -1) if decrypt else range(10):
-            q = self.tweak + bytes((-t - size - 1) % 16) + bytes([i]) + self._number(a if decrypt else b).to_bytes(size)
-            r = self._mac(p + q)
-            s = r + b"".join(self.aes.block(bytes(y ^ z for y, z in zip(r, j.to_bytes(16), strict=True))) for j in range(1, -(-d // 16)))
-            y = int.from_bytes(s[:d])
-            m = u if i % 2 == 0 else v
+            head = self.tweak + bytes((-t - size - 1) % 16) + bytes([i])
+            q = np.frombuffer(b"".join(head + x.to_bytes(size) for x in (a if decrypt else b)), np.uint8).reshape(len(xs), -1)
+            r = begun
+            for k in range(0, q.shape[1], 16):
+                r = self.aes.blocks(r ^ q[:, k : k + 16])
+            more = [self.aes.blocks(r ^ np.frombuffer(j.to_bytes(16), np.uint8)) for j in range(1, -(-d // 16))]
+            raw = np.ascontiguousarray(np.concatenate([r, *more], axis=1)[:, :d]).tobytes()
+            y = [int.from_bytes(raw[k : k + d]) for k in range(0, len(raw), d)]
+            top = self.radix ** (u if i % 2 == 0 else v)
             if decrypt:
-                a, b = self._digits((self._number(b) - y) % self.radix**m, m), a
+                a, b = [(z - w) % top for z, w in zip(b, y, strict=True)], a
             else:
-                a, b = b, self._digits((self._number(a) + y) % self.radix**m, m)
-        return a + b
+                a, b = b, [(z + w) % top for z, w in zip(a, y, strict=True)]
+        return [self._digits(x, u) + self._digits(z, v) for x, z in zip(a, b, strict=True)]
 
-    def text(self, value: str, alphabet: str, decrypt: bool = False) -> str:
+    def texts(self, values: list[str], alphabet: str, decrypt: bool = False) -> list[str]:
         """Characters of the alphabet are encrypted among themselves; all others keep their places."""
         at = {c: i for i, c in enumerate(alphabet)}
-        inside = [at[c] for c in value if c in at]
-        if not inside:
-            return value
-        out = iter(self.run(inside, decrypt))
-        return "".join(alphabet[next(out)] if c in at else c for c in value)
+        inside = [[at[c] for c in v if c in at] for v in values]
+        by_size: dict[int, list[int]] = {}
+        for k, x in enumerate(inside):
+            by_size.setdefault(len(x), []).append(k)
+        out = list(values)
+        for size, ks in by_size.items():
+            if size:
+                for k, digits in zip(ks, self.run([inside[k] for k in ks], decrypt), strict=True):
+                    new = iter(digits)
+                    out[k] = "".join(alphabet[next(new)] if c in at else c for c in values[k])
+        return out
+
+    def text(self, value: str, alphabet: str, decrypt: bool = False) -> str:
+        return self.texts([value], alphabet, decrypt)[0]
 
 
 def encrypted(values: pd.Series, key: bytes, tweak: bytes, alphabet: str, decrypt: bool = False) -> pd.Series:
     """Each distinct value is encrypted once."""
     f = Ff1(key, tweak, len(alphabet))
-    known: dict[str, str] = {v: f.text(v, alphabet, decrypt) for v in _distinct(values)}
+    kinds = list(_distinct(values))
+    known: dict[str, str] = dict(zip(kinds, f.texts(kinds, alphabet, decrypt), strict=True))
     return values.map(known, na_action="ignore").astype(object).where(values.notna(), None)
 
 
