@@ -86,11 +86,11 @@ _predicate("rf_in", "c_nationkey IN (1, 2, 3)", column="c_nationkey", op="In", v
 _predicate("rf_not_in", "c_nationkey NOT IN (1, 2, 3)", column="c_nationkey", op="NotIn", values=[1, 2, 3])
 _predicate("rf_like", "c_name LIKE 'Customer#_______1%'", column="c_name", op="Like", value="Customer#_______1%")
 _predicate("rf_not_like", "c_name NOT LIKE '%7'", column="c_name", op="NotLike", value="%7")
-_predicate("rf_is_null", "c_name IS NULL", column="c_name", op="IsNull")
-_predicate("rf_is_not_null", "c_name IS NOT NULL", column="c_name", op="IsNotNull")
+_predicate("rf_is_null", "c_name IS NULL OR c_nationkey < 7", any=[{"column": "c_name", "op": "IsNull"}, {"column": "c_nationkey", "op": "LessThan", "value": 7}])
+_predicate("rf_is_not_null", "c_name IS NOT NULL AND c_nationkey < 7", all=[{"column": "c_name", "op": "IsNotNull"}, {"column": "c_nationkey", "op": "LessThan", "value": 7}])
 _predicate("rf_starts_with", "starts_with(c_mktsegment, 'BU')", column="c_mktsegment", op="StartsWith", value="BU")
 _predicate("rf_ends_with", "ends_with(c_name, '9')", column="c_name", op="EndsWith", value="9")
-_predicate("rf_contains", "contains(c_name, '#0')", column="c_name", op="Contains", value="#0")
+_predicate("rf_contains", "contains(c_name, '13')", column="c_name", op="Contains", value="13")
 _predicate("rf_matches", "regexp_matches(c_name, '[13579]$')", column="c_name", op="Matches", value="[13579]$")
 _predicate(
     "rf_all_any_not", "c_nationkey > 3 AND (c_mktsegment = 'BUILDING' OR c_nationkey IN (7, 8)) AND NOT c_name LIKE '%5'",
@@ -157,6 +157,15 @@ def _fakes() -> None:
     n = _u64(_hmac("encode('email') || unhex('00') || encode(c_name)"))
     first = f"lower({quoted['first_name']}[({n} % {len(WORDS['first_name'])})::INT + 1])"
     last = f"lower({quoted['last_name']}[(({n} // 65536) % {len(WORDS['last_name'])})::INT + 1])"
+    pick = lambda w, x: f"{quoted[w]}[(({x}) % {len(WORDS[w])})::INT + 1]"
+    of = lambda kind: _u64(_hmac(f"encode('{kind}') || unhex('00') || encode(c_name)"))
+    for kind in ("last_name", "company", "city", "country"):
+        _mask(f"mask_fake_{kind}", pick(kind, of(kind)), "fake", fakeType=kind, seed=SEED)
+    _mask("mask_fake_name", f"{pick('first_name', of('name'))} || ' ' || {pick('last_name', of('name') + ' // 65536')}", "fake", fakeType="name", seed=SEED)
+    _mask("mask_fake_phone", f"'+1-555-' || lpad(({of('phone')} % 1000)::VARCHAR, 3, '0') || '-' || lpad((({of('phone')} // 1024) % 10000)::VARCHAR, 4, '0')", "fake", fakeType="phone", seed=SEED)
+    h = _hmac("encode('uuid') || unhex('00') || encode(c_name)")
+    variant = f"['8', '9', 'a', 'b'][('0x' || substr({h}, 17, 1))::INT % 4 + 1]"
+    _mask("mask_fake_uuid", f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-4' || substr({h}, 14, 3) || '-' || {variant} || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)", "fake", fakeType="uuid", seed=SEED)
     _mask("mask_fake_email", f"{first} || '.' || {last} || (({n} // 4294967296) % 1000)::INT::VARCHAR || '@example.com'", "fake", fakeType="email", seed=SEED)
 
 
@@ -183,7 +192,7 @@ def _placed(key: str, policies: list[Policy], sql: str, masked: str) -> None:
 
 _placed("mask_in_where", HASHED, "SELECT c_custkey FROM customer WHERE c_name < '8'", MASKED)
 _placed("mask_in_group_by", SHORT, "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment", CUT)
-_placed("mask_in_order_by", HASHED, "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 20", MASKED)
+_placed("mask_in_order_by", HASHED, "SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey", MASKED)
 _placed("mask_in_join_on", SHORT, "SELECT a.n_name, count(*) AS n FROM nation a JOIN customer ON left(a.n_name, 1) <> c_mktsegment AND n_nationkey = c_nationkey GROUP BY a.n_name", CUT)
 _placed("mask_in_case", SHORT, "SELECT c_custkey, CASE WHEN c_mktsegment = 'B' THEN 'yes' ELSE 'no' END AS b FROM customer", CUT)
 _placed("mask_count_distinct", SHORT, "SELECT count(DISTINCT c_mktsegment) AS n FROM customer", CUT)
@@ -211,15 +220,21 @@ def _gov(key: str, sql: str, policies: list[Policy] | None = None) -> None:
 _gov("gov_union", "SELECT c_nationkey AS k FROM customer UNION SELECT n_nationkey FROM nation ")
 _gov("gov_union_one_branch", "SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier ")
 _gov("gov_intersect", "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier ")
-_gov("gov_except", "SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer ")
+_gov("gov_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier ")
+_gov("gov_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier ")
+_gov("gov_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier ")
 _gov("gov_cte", "WITH x AS (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey) SELECT n_name, n FROM nation JOIN x ON n_nationkey = c_nationkey ")
-_gov("gov_recursive_cte", "WITH RECURSIVE r(k, n) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT k + 1, n + 1 FROM r WHERE k < 9) SELECT k, count(c_custkey) AS c FROM r LEFT JOIN customer ON c_nationkey = k GROUP BY k ".replace("JOIN customer ON", "JOIN customer a ON"))
+_gov("gov_recursive_cte", "WITH RECURSIVE r(k, n) AS (SELECT n_nationkey, 0 FROM nation WHERE n_nationkey = 0 UNION ALL SELECT c_nationkey, n + 1 FROM r JOIN (SELECT DISTINCT c_nationkey FROM customer) t ON c_nationkey = k + 1) SELECT k, n, count(c_custkey) AS c FROM r LEFT JOIN customer a ON a.c_nationkey = k GROUP BY k, n ")
 _gov("gov_in_subquery", "SELECT n_name FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer) ")
-_gov("gov_not_in_subquery", "SELECT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer) ")
-_gov("gov_exists", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM customer a WHERE c_nationkey = n_nationkey AND c_custkey < 500) ")
-_gov("gov_not_exists", "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer a WHERE c_nationkey = n_nationkey AND c_custkey < 100) ")
+_gov("gov_not_in_subquery", "SELECT s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer) ")
+_gov("gov_exists", "SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM customer a WHERE c_nationkey = n_nationkey AND c_acctbal > 9500) ")
+_gov("gov_not_exists", "SELECT n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM customer a WHERE c_nationkey = n_nationkey AND c_acctbal > 9500) ")
 _gov("gov_self_join", "SELECT a.c_nationkey, count(*) AS n FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey GROUP BY a.c_nationkey ")
 _gov("gov_left_join", "SELECT n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer a ON c_nationkey = n_nationkey GROUP BY n_name ")
+_gov("gov_right_join", "SELECT s_suppkey, c_custkey FROM supplier RIGHT JOIN customer a ON s_suppkey = c_custkey ")
+_gov("gov_cross_join", "SELECT r_name, count(*) AS n FROM region CROSS JOIN customer a GROUP BY r_name ")
+_gov("gov_lateral", "SELECT n_name, top FROM nation, LATERAL (SELECT max(c_acctbal) AS top FROM customer a WHERE c_nationkey = n_nationkey) t ")
+_gov("gov_distinct_aggregate", "SELECT c_mktsegment, count(DISTINCT c_nationkey) AS n, count(*) FILTER (WHERE c_acctbal > 0) AS rich FROM customer GROUP BY c_mktsegment ")
 _gov("gov_full_join", "SELECT s_suppkey, c_custkey FROM supplier FULL JOIN customer a ON s_suppkey = c_custkey ")
 _gov("gov_join_using", "SELECT c_custkey, a.c_nationkey AS x, b.c_mktsegment AS y FROM customer a JOIN customer b USING (c_custkey) ")
 _gov("gov_cube", "SELECT c_mktsegment, c_nationkey, count(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey) ")
@@ -241,10 +256,82 @@ query("limit_inject_ordered", [rewrite(limit={"max": 25})], "SELECT c_custkey, c
 query("limit_clamp", [rewrite(limit={"max": 25})], "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 500", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 25")
 query("limit_keep", [rewrite(limit={"max": 25})], "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7", "SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 7")
 query("sample_full_rate", [rewrite(sample={"rate": 1.0, "method": "reservoir"})], CUSTOMER, CUSTOMER)
-query("sample_reservoir_size", [rewrite(sample={"rate": 0.1})], CUSTOMER, None)
+
+
+def _sample_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample itself is random; its size and that it is drawn without repeats are not."""
+    from pyspark.sql import functions as F
+
+    got = governed(spark, sf_dir, [rewrite(sample={"rate": 0.1})]).sql(CUSTOMER, ALICE)
+    return got.agg(F.count("*").alias("n"), F.count_distinct("c_custkey").alias("kinds"))
+
+
+QUERIES["sample_reservoir_size"] = _sample_size
+ORACLES["sample_reservoir_size"] = "SELECT round_even(0.1 * count(*), 0)::BIGINT AS n, round_even(0.1 * count(*), 0)::BIGINT AS kinds FROM customer"
 query("mask_fpe", [mask("customer", "c_name", "fpe", keyRef="0123456789abcdef")], NAMES, None)
 
 
+# Decisions: what subjects see, and why not.
+
+GUARD = policy("QueryRejectPolicy", "guard", match=on(), reject={"rules": [{"name": "star", "expression": "query.has_select_star && query.joins > 0", "message": "no star over joins"}, {"name": "all", "expression": "!query.has_where && query.tables.exists(t, t.endsWith('.orders'))", "code": "NO_SCAN", "message": "filter orders"}]})
+ASK = policy("ApprovalPolicy", "ask", match=on("supplier"), when={"columnsAccessed": ["s_acctbal"]}, reason="balances")
+BOSS = policy("SqlAccessPolicy", "no-parts", effect="deny", match=on("part"), conditions=[{"name": "juniors", "expression": "subject.claims.level < 5"}])
+CHIEF = UserCtx("carol", groups=("analysts",), claims={"tenant_id": "BUILDING", "level": 9})
+STATEMENTS = [
+    ("plain", ALICE, "SELECT c_name FROM customer"), ("star join", ALICE, "SELECT * FROM customer JOIN nation ON c_nationkey = n_nationkey"), ("scan", ALICE, "SELECT o_orderkey FROM orders"),
+    ("filtered scan", ALICE, "SELECT o_orderkey FROM orders WHERE o_custkey = 1"), ("balance", ALICE, "SELECT s_acctbal FROM supplier"), ("no balance", ALICE, "SELECT s_name FROM supplier"),
+    ("part", ALICE, "SELECT p_partkey FROM part"), ("part of a chief", CHIEF, "SELECT p_partkey FROM part"), ("guest", UserCtx("bob", groups=("guests",)), "SELECT c_name FROM customer"),
+]
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = governed(spark, sf_dir, [GUARD, ASK, BOSS])
+    found = [(name, d["outcome"], d["code"] or "", ",".join(d["rejections"])) for name, user, sql in STATEMENTS for d in [g.explain_access(sql, user)]]
+    return spark.createDataFrame(found, "name string, outcome string, code string, rejections string")
+
+
+QUERIES["decisions"] = _decided
+ORACLES["decisions"] = """SELECT * FROM (VALUES ('plain', 'allow', '', ''), ('star join', 'reject', 'ACL_REJECTED', 'guard/star'), ('scan', 'reject', 'NO_SCAN', 'guard/all'), ('filtered scan', 'allow', '', ''),
+('balance', 'approval', 'ERR_APPROVAL_PENDING', ''), ('no balance', 'allow', '', ''), ('part', 'deny', 'ACL_DENIED', ''), ('part of a chief', 'allow', '', ''), ('guest', 'deny', 'ACL_DENIED', '')) t(name, outcome, code, rejections)"""
+
+SHAPES = {
+    "star": "SELECT * FROM customer", "plain": "SELECT c_name FROM customer WHERE c_nationkey = 3 ORDER BY c_name LIMIT 4", "groups": "SELECT c_nationkey, count(*) FROM customer GROUP BY c_nationkey",
+    "cte": "WITH x AS (SELECT c_custkey FROM customer) SELECT c_custkey FROM x", "union": "SELECT c_nationkey FROM customer UNION SELECT n_nationkey FROM nation",
+    "joins": "SELECT count(*) FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey",
+}
+
+
+def _shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the shape of a statement tells the policies."""
+    from palisade.plans.parse import parse
+
+    found = []
+    for name, sql in SHAPES.items():
+        x = parse(spark, sql).shape
+        found.append((name, x.has_select_star, x.is_aggregate, x.has_cte, x.has_union, x.has_limit, x.limit, x.has_order_by, x.has_where, ",".join(x.where_columns), ",".join(x.group_by_columns), x.joins))
+    return spark.createDataFrame(found, "name string, star boolean, agg boolean, cte boolean, unions boolean, limited boolean, n int, ordered boolean, filtered boolean, wheres string, groups string, joins int")
+
+
+QUERIES["query_shapes"] = _shaped
+ORACLES["query_shapes"] = """SELECT * FROM (VALUES ('star', true, false, false, false, false, 0, false, false, '', '', 0), ('plain', false, false, false, false, true, 4, true, true, 'c_nationkey', '', 0),
+('groups', false, true, false, false, false, 0, false, false, '', 'c_nationkey', 0), ('cte', false, false, true, false, false, 0, false, false, '', '', 0), ('union', false, false, false, true, false, 0, false, false, '', '', 0),
+('joins', false, true, false, false, false, 0, false, false, '', '', 2)) t(name, star, agg, cte, unions, limited, n, ordered, filtered, wheres, groups, joins)"""
+
+
+def _composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two engines and a decision function: filters of all members hold together."""
+    from palisade.operators.engine import CallableEngine, Composite, Engine
+
+    g = governed(spark, sf_dir, [])
+    more = CallableEngine(lambda doc: {"allow": True, "filters": [{"table": "lake.main.customer", "predicate": {"column": "c_nationkey", "op": "GreaterThan", "value": 4}}], "masks": [{"table": "lake.main.customer", "column": "c_name", "type": "hash"}]})
+    g.engine = Composite(Engine(Snapshot.compile([ALLOW, *FILTER])), Engine(Snapshot.compile([ALLOW, rows("customer", "low", **LOW)])), more)
+    return g.sql(CUSTOMER, ALICE)
+
+
+QUERIES["composite_engines"] = _composite
+ORACLES["composite_engines"] = "SELECT c_custkey, sha256(c_name) AS c_name, c_nationkey, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 10 AND c_nationkey > 4"
+
+
 def _flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     policies = [rows("customer", **TENANT), mask("customer", "c_name", "partial", showFirst=2, showLast=1)]
     return governed(spark, sf_dir, policies).sql(FLAGSHIP, ALICE)
@@ -265,6 +352,11 @@ def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["list_tables_visible"] = _listed
 ORACLES["list_tables_visible"] = " UNION ALL ".join(f"SELECT 'lake.main.{t}' AS table_name" for t in TABLES if t != "supplier")
+ORACLES["describe_masked"] = " UNION ALL ".join(
+    f"SELECT 'lake.main.{t}' AS table_name, c.ordinal_position::INT AS position, c.column_name, CASE c.data_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' "
+    f"ELSE lower(c.data_type) END AS sql_type, {'CASE WHEN c.column_name = ' + repr('c_name') + ' THEN ' + repr('hash') + ' END' if t == 'customer' else 'NULL::VARCHAR'} AS mask, false AS filtered "
+    f"FROM information_schema.columns c WHERE c.table_name = '{t}'" for t in TABLES
+)
 QUERIES["describe_masked"] = lambda spark, sf_dir: governed(spark, sf_dir, HASHED).describe_frame(ALICE)
 
 
