@@ -142,7 +142,7 @@ class _Walk:
         elif name == "In" and (c := _attribute(e.value())):
             facts += [Comparison(c, "in", v) for x in seq(e.list()) if (v := _literal(x)) is not None]
         elif name in ("IsNull", "IsNotNull") and (c := _attribute(e.child())):
-            facts.append(Comparison(c, "isnull", ""))
+            facts.append(Comparison(c, "isnull" if name == "IsNull" else "isnotnull", ""))
 
     def fact(self, sides: list, op: str) -> None:
         for a, b, o in ((sides[0], sides[1], op), (sides[1], sides[0], self.FLIP.get(op, op))):

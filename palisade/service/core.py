@@ -159,8 +159,9 @@ class Governed:
                 if approval_id is None:
                     r = self.approvals.ask(user, sql, p.decision.approval["policy"], p.decision.approval["reason"])
                     raise GovernError("ERR_APPROVAL_PENDING", p.decision.approval["reason"] or "approval needed", approval_id=r.id)
-                self.approvals.redeem(approval_id, user, sql)
             df, text = S.secure(self.session, p.parsed, p.keys, self.catalog.load, p.decision, user, facts, self.masks, args)
+            if p.decision.outcome == "approval":  # a statement that cannot be secured leaves the grant
+                self.approvals.redeem(approval_id, user, sql)
             if p.parsed.explain:
                 df = self.session.createDataFrame([(S.explain_text(df),)], "plan string")
             self._record("access", p, sql, user, facts, meta, rewritten_fingerprint=P.fingerprint(re.sub(r"__gov_[0-9a-f]{32}", "", text)))
@@ -220,15 +221,22 @@ class Governed:
             sc.removeJobTag(tag)
 
     def stream(self, sql: str, user: UserCtx, facts: Facts | None = None) -> Iterator[tuple]:
-        """Rows one by one, up to the cap, without collecting them."""
-        p, df = self._secured(sql, user, facts, None, None, None)
-        n = 0
-        try:
-            for r in df.limit(self.settings.max_rows).toLocalIterator(prefetchPartitions=True):
-                n += 1
-                yield tuple(r)
-        finally:
-            self._record("completion", p, sql, user, facts, None, row_count=n)
+        """Rows one by one, up to the cap and within time, without collecting them; they hold a slot and count to budgets."""
+        began, n = time.monotonic(), 0
+        with self.gate.slot():
+            p, df = self._secured(sql, user, facts, None, None, None)
+            limit = min(x for x in (p.decision.timeout, self.settings.timeout) if x)
+            try:
+                for r in df.limit(self.settings.max_rows).toLocalIterator(prefetchPartitions=True):
+                    if time.monotonic() - began > limit:
+                        raise GovernError("ERR_TIMEOUT", f"the query took longer than {limit:g} s")
+                    n += 1
+                    yield tuple(r)
+            finally:
+                spent = int((time.monotonic() - began) * 1000)
+                if self.budgets:
+                    self.budgets.add(user, spent, n)
+                self._record("completion", p, sql, user, facts, None, row_count=n, duration_ms=spent)
 
     # Discovery.
 
