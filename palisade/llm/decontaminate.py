@@ -10,6 +10,8 @@ in ever larger parts; chance hits end there.  Texts stay where they are: nothing
 Items are taken in blocks of at most ``BLOCK_ITEMS`` rows, so what a worker holds is bounded; a longer benchmark takes
 more passes over the documents.
 
+An item too short for an edit must stand as whole words, so that "yes" is not found in "yesterday".
+
 Defined cases: null or empty texts match nothing; items without a letter or digit, and null ones, match nothing;
 a null doc_id or item_id is kept as it is; repeated rows each give their rows; extra columns are ignored; a document
 that holds an item several times gives one row, its best place (the first of equals).
@@ -24,6 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palisade.llm.common import lean, table
 
@@ -111,6 +114,8 @@ class Matcher:
                 start = end + 1 - leaf.m - leaf.at
                 if (id(whole), start) in done:
                     continue
+                if not whole.k and (t[max(0, start - 1) : start].strip() or t[end + 1 : end + 2].strip()):
+                    continue  # a short item is no part of a word
                 part, d, stop = leaf, 0, end + 1
                 while d <= part.k and (part := part.above) is not None:
                     lo = max(0, start + part.at - part.k)
@@ -128,6 +133,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
     spark, kinds = docs.sparkSession, (docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
     rows = items.select("item_id", "text").where(F.col("text").isNotNull())
     blocks = max(1, -(-rows.count() * 5 // (BLOCK_ITEMS * 4)))
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, budget int, start_at long, end_at long"
     out = None
     for k in range(blocks):
@@ -145,7 +151,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
                         for c, v in zip(cols, hit, strict=True):
                             c.append(v)
                 ids = b["doc_id"].take(pa.array(of, pa.int64()))
-                types = (pa.string() if kinds[1] == "string" else pa.int32() if kinds[1] == "int" else pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                types = (item_kind, pa.int32(), pa.int32(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, x) for c, x in zip(cols, types, strict=True))], ["doc_id", "item_id", "distance", "budget", "start_at", "end_at"])
 
         found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(run, schema)

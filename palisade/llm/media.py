@@ -146,8 +146,12 @@ def _gzip(b: bytes, at: int) -> int:
 def _pdf(b: bytes, at: int) -> int:
     if at + 8 > len(b) or not b[at + 5 : at + 6].isdigit() or b[at + 6 : at + 7] != b".":
         return 0
-    end = b.rfind(b"%%EOF", at)
-    return end + 5 - at if end > 0 and b.find(b"startxref", at, end) > 0 else 0
+    # Up to the last end mark before the next file; incremental updates bring several, each with its cross-reference.
+    stop, out = b.find(b"%PDF-", at + 5), 0
+    stop, i = stop if stop >= 0 else len(b), at
+    while (ref := b.find(b"startxref", i, stop)) >= 0 and (end := b.find(b"%%EOF", ref, stop)) >= 0 and b[ref + 9 : end].strip().isdigit():
+        i, out = end + 5, end + 5 - at
+    return out
 
 
 def _of(kind: str, length: Callable[[bytes, int], int]) -> Callable[[bytes, int], tuple[str, int] | None]:

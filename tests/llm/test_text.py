@@ -206,6 +206,13 @@ def test_copied_articles_are_kept(spark):
     assert set(bare.values()) == {"First words. Second words."}
 
 
+def test_short_items_are_whole_words(spark):
+    items = spark.createDataFrame([(1.5, "Yes"), (2.5, "a b")], "item_id double, text string")
+    docs = spark.createDataFrame([(1, "yesterday"), (2, "Well, yes!"), (3, "yes"), (4, "eyes"), (5, "la b a bc"), (6, "x a b")], DOCS)
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()} == {(2, 1.5), (3, 1.5), (6, 2.5)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, items).collect()} == {1, 4, 5}
+
+
 # Language ID.
 
 
@@ -353,6 +360,13 @@ def test_trie_shares_prefixes():
 # Media.
 
 
+def test_pdfs_one_after_another():
+    one = b"%PDF-1.4\nx startxref\n9\n%%EOF"
+    updated = one + b"\nmore startxref 20 %%EOF"
+    got = media.found_media(media.automaton(), one + b"  " + updated + b" tail %%EOF " + b"%PDF-1.4 no end")
+    assert got == [(0, len(one), "application/pdf"), (len(one) + 2, len(updated), "application/pdf")]
+
+
 def png(w=3, h=2):
     chunk = lambda k, d: len(d).to_bytes(4) + k + d + zlib.crc32(k + d).to_bytes(4)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4) + h.to_bytes(4) + b"\x08\x00\x00\x00\x00") + chunk(b"IDAT", zlib.compress(b"\0" * (h * (w + 1)))) + chunk(b"IEND", b"")
