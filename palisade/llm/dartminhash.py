@@ -23,6 +23,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def regions(elements: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unit regions below each element's weight: their ids, their elements' places, and how much of each is covered."""
+    layers = np.ceil(weights).astype(np.int64)
+    layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
+    place = np.repeat(np.arange(len(elements)), layers)
+    return mix(elements[place] ^ mix(layer.astype(U))), place, np.minimum(weights[place] - layer, 1.0)
+
+
 def signatures(elements: np.ndarray, weights: np.ndarray | None, sizes: np.ndarray, k: int) -> np.ndarray:
     """(sets, k) uint64.  elements: uint64 ids, set after set; weights: positive, or None for 1 each; sizes: elements of each set, all positive."""
     of = np.repeat(np.arange(len(sizes)), sizes)
@@ -30,10 +38,8 @@ def signatures(elements: np.ndarray, weights: np.ndarray | None, sizes: np.ndarr
         total, limit = sizes.astype(float), None
     else:
         total = np.bincount(of, weights, minlength=len(sizes))
-        layers = np.ceil(weights).astype(np.int64)
-        layer = np.arange(layers.sum()) - np.repeat(np.cumsum(layers) - layers, layers)
-        limit = np.repeat(weights, layers) - layer  # below 1 where the region is partly covered
-        elements, of = mix(np.repeat(elements, layers) ^ mix(layer.astype(U))), np.repeat(of, layers)
+        elements, place, limit = regions(elements, weights)
+        of = of[place]
     out = np.zeros((len(sizes), k), U)
     todo, reach = np.arange(len(sizes)), k * (np.log(k) + 2.0)
     while len(todo):

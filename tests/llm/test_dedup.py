@@ -143,10 +143,16 @@ def test_suffix_order_and_classes():
         assert len(set(zip(c.tolist(), (s[i : i + 50] for i in starts), strict=True))) == len(set(c.tolist())) == len({s[i : i + 50] for i in starts})
 
 
-def expected_classes(docs):
+def expected_classes(docs, weighted=False):
     s = neardup.Shingler()
     ids = sorted({d for d, _ in docs if d is not None})
-    sets = [(d, frozenset(s.shingles(s.words(t)).tolist()), t or "") for d, t in docs if d is not None]
+
+    def runs(t):
+        w = s.words(t)
+        found = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+        return found if weighted else Counter(set(found))
+
+    sets = [(d, runs(t), t or "") for d, t in docs if d is not None]
     root = {d: d for d in ids}
 
     def find(x):
@@ -156,7 +162,7 @@ def expected_classes(docs):
 
     for i, (a, x, t) in enumerate(sets):
         for b, y, u in sets[:i]:
-            if (not x and not y and t == u) or (x and y and len(x & y) >= 0.8 * len(x | y) - 1e-9):
+            if (not x and not y and t == u) or (x and y and (x & y).total() >= 0.8 * (x | y).total() - 1e-9):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     return Counter((d, None if d is None else find(d)) for d, _ in docs)
@@ -174,6 +180,19 @@ def test_tiles_of_large_buckets(spark, monkeypatch):
     assert Counter(map(tuple, neardup.near_duplicates(spark.createDataFrame(docs, DOCS)).collect())) == expected_classes(docs)
 
 
+def test_weighted_near_duplicates(spark, monkeypatch):
+    """Runs count as often as they occur: documents 1 and 2 hold the same runs, but not as often."""
+    line, other = "one line of words that comes back. ", "another line whose words come only once in the text. "
+    docs = [(1, line * 9 + other), (2, line * 3 + other), (3, line * 8 + other), (4, None), *((d + 10, t) for d, t in make(9, 80) if d is not None)]
+    df = spark.createDataFrame(docs, DOCS)
+    plain, counted = expected_classes(docs), expected_classes(docs, weighted=True)
+    assert (2, 1) in plain and (2, 2) in counted and (3, 1) in counted
+    assert Counter(map(tuple, neardup.near_duplicates(df).collect())) == plain
+    assert Counter(map(tuple, neardup.near_duplicates(df, weighted=True).collect())) == counted
+    monkeypatch.setattr(neardup, "ELEMENTS", 40)
+    assert Counter(map(tuple, neardup.near_duplicates(df, weighted=True).collect())) == counted
+
+
 def test_dartminhash_estimates():
     x = np.arange(1000, dtype=np.uint64)
     one = dartminhash.signatures(np.concatenate([x, x[100:]]), None, np.array([1000, 900]), 2000)
