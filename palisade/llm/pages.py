@@ -6,7 +6,9 @@ a page are no template); subtrees that recur in a large share of them are the ho
 without elements whose tag, role, class or id says menu, header, footer, sidebar, notice, advert, form, comments.
 
 The article's own paragraphs are safe: inside it a subtree goes only if it recurs in nearly all articles of a host, or
-in half of them as one of the first or last blocks, where sites put their notices, adverts and sign-ups.
+in half of them as one of the first or last blocks, where sites put their notices, adverts and sign-ups.  Headings in
+its own header are its title and stay.  If the only articles carry marks themselves (class related-post), the largest
+counts, unless more text stands beside it.
 
 Defined cases: null or empty html gives an empty text; pages with a null or odd url share no host, so nothing recurs;
 pages without an article or main element use the body, and without tags the whole text; unclosed elements end with their
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,9 +39,11 @@ FLUSH = 200_000
 BROADCAST_HASHES = 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select svg math object canvas audio video xmp noembed noframes".split())
-DROP = RAW | frozenset("head nav header footer aside form button menu dialog title label fieldset".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template iframe textarea select svg object canvas audio video xmp noembed noframes".split())
+DROP = RAW | frozenset("head nav header footer aside form button menu dialog title fieldset annotation annotation-xml".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics mrow mi mo mn ms mtext mspace mfrac msqrt mroot msub msup msubsup mover munder munderover mmultiscripts mtable mtr mtd mstyle mpadded mphantom menclose".split())
 #: Start tags that end an open element of the second set (closest block level only).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table article section div body main".split())
@@ -77,6 +82,15 @@ def parse(page: str) -> Node:
     root = cur = Node("#root", {}, None)
     i, n = 0, len(page)
     low = None
+    held: Counter[str] = Counter()  # open elements by tag
+
+    def up_to(node: Node) -> Node:
+        at = cur
+        while at is not node:
+            held[at.tag] -= 1
+            at = at.above
+        return node
+
     while i < n:
         m = OPENING.search(page, i)
         if m is None:
@@ -96,28 +110,28 @@ def parse(page: str) -> Node:
         close, tag, rest = (m[2], m[3], m[4]) if m[3] else (m[6], m[7], m[8])
         tag = tag.lower()
         if close:
-            at = cur
-            while at.above is not None and at.tag != tag:
-                at = at.above
-            if at.above is not None:
-                cur = at.above
+            if held[tag]:
+                at = cur
+                while at.tag != tag:
+                    at = at.above
+                cur = up_to(at.above)
             elif tag == "br":
                 cur.children.append("\n")
             continue
-        if tag in NO_P:
+        if tag in NO_P and held["p"]:
             at = cur
             while at.above is not None and at.tag in INLINE:
                 at = at.above
             if at.tag == "p":
-                cur = at.above
-        if tag in ENDS:
+                cur = up_to(at.above)
+        if tag in ENDS and any(held[t] for t in ENDS[tag]):
             at = cur
             while at.above is not None and at.tag not in ENDS[tag] and at.tag not in STOPS:
                 at = at.above
             if at.tag in ENDS[tag] and at.above is not None:
-                cur = at.above
+                cur = up_to(at.above)
                 if tag == "tr" and cur.tag == "tr":
-                    cur = cur.above
+                    cur = up_to(cur.above)
         node = Node(tag, attributes(rest), cur)
         cur.children.append(node)
         if tag in RAW and not rest.endswith("/"):
@@ -133,6 +147,7 @@ def parse(page: str) -> Node:
                 i = n if end < 0 else end + 1
         elif tag not in VOID:
             cur = node
+            held[tag] += 1
     return root
 
 
@@ -182,10 +197,12 @@ def text_size(node: Node) -> int:
 
 def content_root(root: Node) -> tuple[Node, bool]:
     """The article, the main element, or the root; whether one of the first two was found."""
-    articles, mains, stack = [], [], [root]
+    articles, marked, mains, stack = [], [], [], [root]
     while stack:
         node = stack.pop()
         if node is not root and is_boilerplate(node):
+            if node.tag == "article":
+                marked.append(node)
             continue
         if node.tag == "article":
             articles.append(node)
@@ -195,7 +212,10 @@ def content_root(root: Node) -> tuple[Node, bool]:
         stack += [c for c in reversed(node.children) if type(c) is Node]
     if articles:
         return (articles[0] if len(articles) == 1 else max(articles, key=text_size)), True
-    return (mains[0], True) if mains else (root, False)
+    top = mains[0] if mains else root
+    if marked and len(text_of(best := max(marked, key=text_size), frozenset())) > len(text_of(top, frozenset())):
+        return best, True
+    return top, bool(mains)
 
 
 def edges(top: Node) -> list[Node]:
@@ -211,6 +231,18 @@ def edges(top: Node) -> list[Node]:
     return blocks[:EDGE] + blocks[max(EDGE, len(blocks) - EDGE) :]
 
 
+def headings(header: Node) -> list[Node]:
+    """The outermost headings of an article's header, in order."""
+    out, stack = [], [header]
+    while stack:
+        node = stack.pop()
+        if node.tag in HEADINGS:
+            out.append(node)
+        elif node is header or not is_boilerplate(node):
+            stack += [c for c in reversed(node.children) if type(c) is Node]
+    return out
+
+
 def text_of(top: Node, template: frozenset[int], ends: frozenset[int] = frozenset()) -> str:
     at_edge = {id(x) for x in edges(top) if x.hash in ends} if ends else ()
     parts: list[str] = []
@@ -220,8 +252,13 @@ def text_of(top: Node, template: frozenset[int], ends: frozenset[int] = frozense
         if type(x) is str:
             parts.append(x)
             continue
-        if x is not top and (is_boilerplate(x) or (x.hash in template and x.hash) or id(x) in at_edge):
+        if x is not top and ((x.hash in template and x.hash) or id(x) in at_edge):
+            parts.append(" ")
+            continue
+        if x is not top and is_boilerplate(x):
             parts.append(" ")
+            if x.tag == "header" and top.tag == "article":
+                stack += reversed(headings(x))
             continue
         block = x.tag not in INLINE
         if block:

@@ -1,6 +1,7 @@
 """License scan, decontamination, page text, language ID, tokens and media."""
 
 import hashlib
+import html as entities
 import random
 import zlib
 from collections import Counter
@@ -161,6 +162,11 @@ def test_items_in_blocks(spark, monkeypatch):
         ("<div class='cookie-notice'>n</div><main><p>m</p><form><input>q</form></main>", "m"), ("<p title='a>b'>x</p><p hidden>y</p>", "x"), ("<article class=comment>c</article><article><p>real text</p></article>", "real text"),
         ("<article><p>unclosed <b>bold<p>next", "unclosed bold next"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a b c"), ("a < b and c > d", "a < b and c > d"),
         ("<div class='shadow loading'>kept</div>", "kept"), ("<ARTICLE><P>Upper</P></ARTICLE>", "Upper"),
+        ("<header><h1>Site</h1></header><article><header><h1>Title <i>of</i> it</h1><p>By Ann</p><nav><h2>menu</h2></nav></header><p>text</p></article>", "Title of it text"),
+        ("<article><p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then <label>this</label></p><form><label>Mail</label><input></form></article>", "if x=2 then this"),
+        ("<article class='related-post'><p>the article itself</p></article><div>beside</div>", "the article itself"),
+        ("<div>The story is told beside its comments.</div><article class='comment'><p>me too</p></article>", "The story is told beside its comments."),
+        ("<b>" * 20_000 + "</i>" * 20_000 + "deep", "deep"),
     ],
 )
 def test_main_text(html, text):
@@ -179,6 +185,90 @@ def test_template_removal(spark, monkeypatch, broadcast):
     assert pages.extract(df.limit(0)).collect() == []
 
 
+def site(r):
+    """Pages of one host as trees (tag, children) with an article or without one."""
+    pool = [f"{w} of the site number {r.randint(0, 999)}" for w in ("Greeting", "Offer", "Hint", "Terms", "Imprint", "Letter")]
+    has, often = r.random() < 0.6, r.choice([0.3, 0.6, 0.95])
+
+    def block(own):
+        text = r.choice(pool) if r.random() < 0.5 * often else f"Text {r.randint(0, 99_999)} & more"
+        return (r.choice(["p", "div"]), [text]) if own else ("div", [("p", [text])])
+
+    def page():
+        inner = [block(True) for _ in range(r.randint(0, 5))]
+        first, last = [("p", [pool[0]])] * (r.random() < often), [("div", [("p", [pool[1], ("b", [pool[2]])])])] * (r.random() < often)
+        content = [("h1", [f"Title {r.randint(0, 50)}"]), *first, *inner, *last]
+        if has and r.random() < 0.3:
+            content = [("section", content)]
+        around = [block(False) for _ in range(2)]
+        return ("body", [around[0], ("article", content), around[1]] if has else [around[0], *content, around[1]])
+
+    made = [page() for _ in range(r.choice([1, 4, 9, 30]))]
+    return made + [made[0]] * r.choice([0, 3, 20])
+
+
+def markup(x):
+    return entities.escape(x) if isinstance(x, str) else f"<{x[0]}>" + "".join(map(markup, x[1])) + f"</{x[0]}>"
+
+
+def plain(x, drop):
+    """Text of a tree without the subtrees that ``drop`` takes; a list of its blocks' parts."""
+    if isinstance(x, str):
+        return x
+    if drop(x):
+        return " "
+    inner = "".join(plain(c, drop) for c in x[1])
+    return inner if x[0] == "b" else f" {inner} "
+
+
+def expected_pages(trees):
+    """Texts by counting every subtree of every different article, in plain Python."""
+    tops = [next((c for c in t[1] if c[0] == "article"), ("root", [("html", [t])])) for t in trees]
+
+    def subtrees(x):
+        return {repr(x)}.union(*(subtrees(c) for c in x[1] if not isinstance(c, str)))
+
+    def ends(top):
+        blocks = list(top[1])
+        while len(blocks) == 1:
+            blocks = [c for c in blocks[0][1] if not isinstance(c, str) and c[0] != "b"]
+        blocks = [c for c in blocks if c[0] != "h1"]
+        return [] if len(blocks) < 2 else blocks[:2] + blocks[max(2, len(blocks) - 2) :]
+
+    seen, edge = {}, {}
+    for t, top in zip(trees, tops, strict=True):
+        key = " ".join(plain(top, lambda x: False).split())
+        for s in subtrees(t):
+            seen.setdefault(s, set()).add(key)
+        if top[0] == "article":
+            for x in ends(top):
+                edge.setdefault(repr(x), set()).add(key)
+    n = len({" ".join(plain(top, lambda x: False).split()) for top in tops})
+    meets = lambda found, x, least, share: len(found.get(repr(x), ())) >= max(least, share * n)
+    out = []
+    for top in tops:
+        if top[0] == "article":
+            at = [id(x) for x in ends(top) if meets(edge, x, 3, 0.5)]
+            drop = lambda x, top=top, at=at: x is not top and (id(x) in at or meets(seen, x, 10, 0.8))
+        else:
+            drop = lambda x: meets(seen, x, 5, 0.3)
+        out.append(" ".join(plain(top, drop).split()))
+    return out, [" ".join(plain(top, lambda x: False).split()) for top in tops]
+
+
+def test_templates_equal_brute_force(spark):
+    r, rows, want, whole = random.Random(5), [], {}, {}
+    for h in range(40):
+        trees = site(r)
+        texts, full = expected_pages(trees)
+        for t, text, f in zip(trees, texts, full, strict=True):
+            rows.append((len(rows), f"https://host{h}.example/{len(rows)}", f"<html>{markup(t)}</html>"))
+            want[len(want)], whole[len(whole)] = text, f
+    assert extracted(spark, rows) == want
+    inside = [i for i, (_, _, html) in enumerate(rows) if "<article>" in html]
+    assert sum(want[i] != whole[i] for i in inside) > 50 and sum(want[i] != whole[i] for i in want if i not in set(inside)) > 50
+
+
 def test_article_paragraphs_are_safe(spark):
     same = "<article><h1>News</h1><p>The same paragraph on several pages.</p></article>"
     rows = [(i, "http://h/x", same if i < 8 else f"<article><p>Page {i}</p></article>") for i in range(20)]
