@@ -1,7 +1,14 @@
 """The pipeline's stages and its whole run."""
 
+import hashlib
+import itertools
+import re
 from collections import Counter
 
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
+
 import corpus_pipeline as cp
 from palisade.llm import decontaminate
 from palisade.llm.common import table
@@ -59,3 +66,92 @@ def test_odd_rows(spark):
     spark.createDataFrame([], schema).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert cp.run(spark, empty).collect() == []
+
+
+def plain_lines(docs):
+    keys = lambda t: [(x, x.strip(" \t\n\x0b\f\r").translate({c: c + 32 for c in range(65, 91)})) for x in (t or "").split("\n")]
+    first: dict[str, int] = {}
+    for d, t in docs:
+        for _, k in keys(t):
+            if len(k) >= 10:
+                first[k] = min(first.get(k, d), d)
+    out = []
+    for d, t in docs:
+        kept = [x for x, k in keys(t) if len(k) < 10 or first[k] == d]
+        if len(kept) == len(keys(t)):
+            out.append((d, t))
+        elif "\n".join(kept).strip(" \t\n\x0b\f\r"):
+            out.append((d, "\n".join(kept)))
+    return out
+
+
+def plain_near(docs):
+    """All pairs, by the runs of words as they are; every document goes to the least one it is linked to, by any way."""
+
+    def runs(t):
+        w = re.findall(r"\w+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {t or ""}
+
+    sets = {d: runs(t) for d, t in docs}
+    of = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and of[a] != of[b]:
+            lo, hi = sorted((of[a], of[b]))
+            of = {d: lo if c == hi else c for d, c in of.items()}
+    return [(d, t) for d, t in docs if of[d] == d]
+
+
+def plain_clean(docs, items):
+    """The edit distance of every item to the nearest part of every text, by the whole table of it."""
+    normal = lambda t: re.sub(r"[\W_]+", " ", (t or "").lower()).strip()
+    texts, held = [normal(t) for _, t in docs], set()
+    gap = max((len(normal(x)) for x in items), default=0) + 1
+    codes = np.frombuffer(("\0" * gap).join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
+    at = np.cumsum([gap] + [len(t) + gap for t in texts])
+    steps = np.arange(len(codes) + 1, dtype=np.int32)
+    for item in map(normal, items):
+        k = min(len(item) // 10, len(item) - 1)
+        if k == 0:
+            held |= {i for i, t in enumerate(texts) if f" {item} " in f" {t} "}
+        elif item:
+            row = np.zeros(len(codes) + 1, np.int32)
+            for n, c in enumerate(item, 1):
+                new = np.concatenate([[n], np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))]).astype(np.int32)
+                row = np.minimum.accumulate(new - steps) + steps
+            held |= {i for i, t in enumerate(texts) if (row[at[i] : at[i] + len(t) + 1] <= k).any()}
+    return [x for i, x in enumerate(docs) if i not in held]
+
+
+def test_every_stage_and_the_run_equal_plain_python(spark):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    items = [r["text"] for r in table(spark, SF, "benchmark").collect()]
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+
+    def told(rows):
+        return [(d, t) for d, t in rows if re.search(r"[^\W\d_]", t or "")]
+
+    def coded(rows):
+        out = []
+        for d, t in rows:
+            ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+            out.append((d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(tokenizer.decode(ids, skip_special_tokens=False).encode())))
+        return out
+
+    at_hand = rows
+    for (name, stage), plain in zip(cp.STAGES, [told, plain_lines, plain_near, lambda x: plain_clean(x, items), coded], strict=True):
+        # Each stage on all documents, where it has most to do, and then on what the ones before it left.
+        for given in (rows, at_hand):
+            df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in given], docs.schema)
+            got = stage(spark, df if given is not rows else docs, SF)
+            columns = ["doc_id", "text"] if name != "bpe" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            want = plain(given)
+            assert Counter(map(tuple, got.select(columns).collect())) == Counter(want), name
+            if name == "line_dedup":
+                assert all(r["n_chars"] == len(r["text"] or "") for r in got.collect())
+        assert name in ("language_id", "bpe") or plain(rows) != rows  # else nothing is tested
+        at_hand = want
+    assert Counter(tuple(r)[:4] for r in cp.run(spark, SF).collect()) == Counter(at_hand)
