@@ -7,8 +7,8 @@ distance over the window around each place decides.  The cut is a binary tree: a
 of which has at most its share of k - 1, so a hit is first verified in the part that holds it and its neighbour, then
 in ever larger parts; chance hits end there.  Texts stay where they are: nothing is shuffled.
 
-Items are taken in blocks of at most ``BLOCK_ITEMS`` rows, so what a worker holds is bounded; a longer benchmark takes
-more passes over the documents.
+Items are dealt by hash into blocks of about ``BLOCK_ITEMS`` rows and ``BLOCK_BYTES`` bytes at most, so what a worker
+holds is bounded; a longer benchmark takes more passes over the documents.
 
 An item too short for an edit must stand as whole words, so that "yes" is not found in "yesterday".
 
@@ -32,7 +32,7 @@ from palisade.llm.common import lean, table
 
 OTHER = re.compile(r"[\W_]+")
 RATE = 0.1
-BLOCK_ITEMS = 2_000
+BLOCK_ITEMS, BLOCK_BYTES = 2_000, 1 << 20
 
 
 def normal(text: str | None) -> str:
@@ -128,17 +128,25 @@ class Matcher:
         yield from best.values()
 
 
+def item_blocks(items: DataFrame) -> Iterator[list[tuple]]:
+    """The distinct items with a text, (item_id, text), one block after the other; one empty block if there are none."""
+    rows = items.select("item_id", "text").where(F.col("text").isNotNull()).distinct()
+    count, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # A fifth of a block is left for what the hash deals unevenly.
+    blocks = max(1, -(-count * 5 // (BLOCK_ITEMS * 4)), -(-size * 5 // (BLOCK_BYTES * 4)))
+    for k in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, item_id, distance, budget, start_at, end_at): a row for each document and item within the budget."""
     spark, kinds = docs.sparkSession, (docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString())
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull())
-    blocks = max(1, -(-rows.count() * 5 // (BLOCK_ITEMS * 4)))
     item_kind = to_arrow_type(items.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, distance int, budget int, start_at long, end_at long"
     out = None
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.distinct().orderBy("item_id", "text").collect()])
+    for block in item_blocks(items):
+        shared = spark.sparkContext.broadcast(block)
 
         @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -162,13 +170,9 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataF
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns; decided row by row, whatever their ids."""
     spark, names = docs.sparkSession, docs.columns
-    shared = None
-    rows = items.select("item_id", "text").where(F.col("text").isNotNull())
-    blocks = max(1, -(-rows.count() * 5 // (BLOCK_ITEMS * 4)))
     out = docs
-    for k in range(blocks):
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.distinct().orderBy("item_id", "text").collect()])
+    for block in item_blocks(items):
+        shared = spark.sparkContext.broadcast(block)
 
         @lean
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
